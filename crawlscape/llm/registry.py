@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, mixing, sharding
+from . import bpe, fingerprints, licenses, mixing, pii, sharding
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op1_bpe": bpe.op1_bpe,
         "op3_license_scan": licenses.op3_license_scan,
         "op4_pfair_mix": mixing.op4_pfair_mix,
+        "op6_closed_syncmers": fingerprints.op6_closed_syncmers,
+        "op7_pii": pii.op7_pii,
         "op9_rendezvous_shards": sharding.op9_rendezvous_shards,
     }
 
