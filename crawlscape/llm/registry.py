@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, licenses, mixing, pii, quality, sharding, token_files, topk
+from . import bpe, fingerprints, jaccard, licenses, mixing, pii, quality, sharding, token_files, topk
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_top_products": topk.op2_top_products,
         "op3_license_scan": licenses.op3_license_scan,
         "op4_pfair_mix": mixing.op4_pfair_mix,
+        "op5_jaccard_join": jaccard.op5_jaccard_join,
         "op6_closed_syncmers": fingerprints.op6_closed_syncmers,
         "op7_pii": pii.op7_pii,
         "op8_token_counts": token_files.op8_token_counts,
