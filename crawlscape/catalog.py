@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-QUERY_MODULES: tuple[str, ...] = ()
+QUERY_MODULES: tuple[str, ...] = ("crawlscape.plans.web",)
 
 
 def _collect(attribute: str) -> dict:
