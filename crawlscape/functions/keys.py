@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType
 
 SIGN = -(1 << 63)
 # Fixed value: seed bytes that precede a path when it is hashed.
@@ -24,7 +25,7 @@ def xxh64(column: Column) -> Column:
         return _xxh64_arrow(column.cast("binary"))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def _xxh64_arrow(values: pd.Series) -> pd.Series:
     import xxhash
 
@@ -90,13 +91,13 @@ def _combined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def rendezvous_weight(partition: pd.Series, machine: pd.Series) -> pd.Series:
     """Bit pattern of the unsigned weight; order it through ``unsigned``."""
     return pd.Series(_combined(partition.to_numpy(np.int64), machine.to_numpy(np.int64)).view(np.int64))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def weighted_rendezvous(partition: pd.Series, machine: pd.Series, weight: pd.Series) -> pd.Series:
     return pd.Series(_combined(partition.to_numpy(np.int64), machine.to_numpy(np.int64)).astype(np.float64) * weight.to_numpy(float))
 

@@ -25,10 +25,10 @@ CAPTURES = "SELECT o_custkey AS url_id, o_orderkey AS seq, CAST(floor(epoch(o_or
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as links between fifty hosts, in the order of their keys."""
-    return table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 50).alias("src_host"), (F.col("l_partkey") % 50).alias("dst_host"), F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), (F.col("l_linenumber") % 7).cast("long").alias("depth"))
+    return table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 50).alias("src_host"), (F.col("l_partkey") % 50).alias("dst_host"), F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100_000_000 + F.col("l_partkey") * 1000 + F.col("l_suppkey") % 1000).alias("seq"), (F.col("l_linenumber") % 7).cast("long").alias("depth"))
 
 
-LINKS = "SELECT l_suppkey % 50 AS src_host, l_partkey % 50 AS dst_host, l_orderkey AS src, l_partkey AS dst, l_orderkey * 8 + l_linenumber AS seq, CAST(l_linenumber % 7 AS BIGINT) AS depth FROM lineitem"
+LINKS = "SELECT l_suppkey % 50 AS src_host, l_partkey % 50 AS dst_host, l_orderkey AS src, l_partkey AS dst, (l_orderkey * 8 + l_linenumber) * 100000000 + l_partkey * 1000 + l_suppkey % 1000 AS seq, CAST(l_linenumber % 7 AS BIGINT) AS depth FROM lineitem"
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,4 +38,4 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("host"), F.col("event_id").alias("seq"), hours("ts").alias("at"), status.alias("status"), F.floor(F.col("value") * 10).cast("long").alias("latency"), F.floor("value").cast("long").alias("fp"))
 
 
-OUTCOMES = "SELECT user_id AS host, event_id AS seq, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS at, CAST(CASE event_type WHEN 'error' THEN 503 WHEN 'signup' THEN 304 WHEN 'purchase' THEN 301 ELSE 200 END AS BIGINT) AS status, CAST(floor(value * 10) AS BIGINT) AS latency, CAST(floor(value) AS BIGINT) AS fp FROM events"
+OUTCOMES = "SELECT user_id AS host, event_id AS seq, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour, CAST(CASE event_type WHEN 'error' THEN 503 WHEN 'signup' THEN 304 WHEN 'purchase' THEN 301 ELSE 200 END AS BIGINT) AS status, CAST(floor(value * 10) AS BIGINT) AS latency, CAST(floor(value) AS BIGINT) AS fp FROM events"
