@@ -55,6 +55,21 @@ def filter_query(query: str, policy: CanonPolicy = CanonPolicy()) -> str:
     return "&".join(quote_plus(k, safe="~") + ("=" + quote_plus(v, safe="~") if v else "") for k, v in sorted(kept))
 
 
+def _resolved(path: str) -> str:
+    """An absolute path without dot segments; one that ends in them ends in a slash."""
+    out: list[str] = []
+    segments = path.split("/")[1:]
+    for k, segment in enumerate(segments):
+        if segment in (".", ".."):
+            if segment == ".." and out:
+                out.pop()
+            if k == len(segments) - 1:
+                out.append("")
+        else:
+            out.append(segment)
+    return "/" + "/".join(out)
+
+
 def canonicalize(raw: str | None, base: str | None = None, policy: CanonPolicy = CanonPolicy()) -> str | None:
     """The canonical URL, or None for what can't be crawled."""
     if raw is None:
@@ -86,7 +101,7 @@ def canonicalize(raw: str | None, base: str | None = None, policy: CanonPolicy =
     host = f"[{host}]" if ":" in host else host
     if port == {"http": 80, "https": 443}[scheme]:
         port = None
-    path = urlsplit(urljoin(f"{scheme}://h/", f"{scheme}://h" + (parts.path or "/"))).path or "/"
+    path = _resolved(parts.path)
     path = normalize_percent(quote(path, safe=_PATH_SAFE))
     if policy.collapse_slash:
         path = re.sub("/+", "/", path)

@@ -1,0 +1,227 @@
+"""Compact column codecs and wire batches for exchange outside Parquet.
+
+Integers choose the shortest of five forms (runs, dictionary, deltas, offsets from the
+least value, packed offsets of blocks) or stay raw; strings share a trained table of
+symbols; a batch of rows is a set of such columns under a checksum.
+"""
+
+from __future__ import annotations
+
+import io
+import struct
+import zlib
+from collections import Counter
+
+import numpy as np
+
+RAW, RUNS, DICTIONARY, DELTA, OFFSET, BLOCKS = range(6)
+BLOCK = 128
+
+
+def _pack(values: np.ndarray, width: int) -> bytes:
+    if not width:
+        return b""
+    bits = ((values[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(bits.ravel(), bitorder="little").tobytes()
+
+
+def _unpack(data: bytes, n: int, width: int) -> np.ndarray:
+    if not width:
+        return np.zeros(n, np.uint64)
+    bits = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")[: n * width].reshape(n, width)
+    return (bits.astype(np.uint64) << np.arange(width, dtype=np.uint64)).sum(1, dtype=np.uint64)
+
+
+def _width(values: np.ndarray) -> int:
+    return int(values.max()).bit_length() if len(values) else 0
+
+
+def _offset(v: np.ndarray) -> bytes:
+    low = v.min() if len(v) else np.uint64(0)
+    rest = v - low
+    return struct.pack("<QB", int(low), _width(rest)) + _pack(rest, _width(rest))
+
+
+def _from_offset(data: bytes, n: int) -> np.ndarray:
+    low, width = struct.unpack_from("<QB", data)
+    return _unpack(data[9:], n, width) + np.uint64(low)
+
+
+def _forms(v: np.ndarray) -> dict[int, bytes]:
+    forms = {RAW: v.astype("<u8").tobytes()}
+    if not len(v):
+        return forms
+    starts = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+    lengths = np.diff([*starts, len(v)]).astype(np.uint64)
+    a, b = _offset(v[starts]), _offset(lengths)
+    forms[RUNS] = struct.pack("<II", len(starts), len(a)) + a + b
+    words, at = np.unique(v, return_inverse=True)
+    if len(words) <= 65536:
+        forms[DICTIONARY] = struct.pack("<I", len(words)) + words.astype("<u8").tobytes() + _offset(at.astype(np.uint64))
+    steps = (v[1:] - v[:-1]).view(np.int64)
+    zig = ((steps << 1) ^ (steps >> 63)).view(np.uint64)
+    forms[DELTA] = struct.pack("<Q", int(v[0])) + _offset(zig)
+    forms[OFFSET] = _offset(v)
+    parts = [_offset(zig[k : k + BLOCK]) for k in range(0, len(zig), BLOCK)]
+    forms[BLOCKS] = struct.pack("<Q", int(v[0])) + b"".join(struct.pack("<H", len(p)) + p for p in parts)
+    return forms
+
+
+def encode_ints(values: np.ndarray) -> bytes:
+    v = np.ascontiguousarray(values).astype(np.uint64)
+    form, body = min(_forms(v).items(), key=lambda x: (len(x[1]), x[0]))
+    return struct.pack("<BI", form, len(v)) + body
+
+
+def decode_ints(data: bytes) -> np.ndarray:
+    form, n = struct.unpack_from("<BI", data)
+    body = data[5:]
+    if form == RAW:
+        return np.frombuffer(body, "<u8", n).copy()
+    if form == RUNS:
+        k, size = struct.unpack_from("<II", body)
+        return np.repeat(_from_offset(body[8 : 8 + size], k), _from_offset(body[8 + size :], k).astype(np.int64))
+    if form == DICTIONARY:
+        (k,) = struct.unpack_from("<I", body)
+        return np.frombuffer(body, "<u8", k, 4)[_from_offset(body[4 + 8 * k :], n).astype(np.int64)]
+    if form == OFFSET:
+        return _from_offset(body, n)
+    (first,) = struct.unpack_from("<Q", body)
+    if form == DELTA:
+        zig = _from_offset(body[8:], n - 1)
+    elif form == BLOCKS:
+        found, at, left = [], 8, n - 1
+        while left > 0:
+            (size,) = struct.unpack_from("<H", body, at)
+            found.append(_from_offset(body[at + 2 : at + 2 + size], min(BLOCK, left)))
+            at, left = at + 2 + size, left - BLOCK
+        zig = np.concatenate(found) if found else np.empty(0, np.uint64)
+    else:
+        raise ValueError("unknown form")
+    steps = (zig >> np.uint64(1)) ^ (np.uint64(0) - (zig & np.uint64(1)))
+    return np.cumsum(np.concatenate([[np.uint64(first)], steps]), dtype=np.uint64)
+
+
+class SymbolTable:
+    """Up to 254 byte strings of up to eight bytes, picked in rounds by the bytes they would save."""
+
+    ESCAPE, ROUNDS = 255, 5
+
+    def __init__(self, symbols: list[bytes]):
+        self.symbols = symbols[:254]
+        self.code = {s: i for i, s in enumerate(self.symbols)}
+        self.longest = max(map(len, self.symbols), default=0)
+
+    @classmethod
+    def train(cls, strings: list[bytes]) -> SymbolTable:
+        table = cls([])
+        for _ in range(cls.ROUNDS):
+            gain: Counter = Counter()
+            for s in strings[:4096]:
+                before = b""
+                for part in table._parts(s):
+                    gain[part] += len(part)
+                    if before and len(before) + len(part) <= 8:
+                        gain[before + part] += len(before) + len(part)
+                    before = part
+            table = cls([s for s, _ in sorted(gain.items(), key=lambda x: (-x[1], x[0]))[:254]])
+        return table
+
+    def _parts(self, s: bytes):
+        i = 0
+        while i < len(s):
+            n = next((k for k in range(min(self.longest, len(s) - i), 0, -1) if s[i : i + k] in self.code), 1)
+            yield s[i : i + n]
+            i += n
+
+    def encode(self, s: bytes) -> bytes:
+        return b"".join(bytes([self.code[p]]) if p in self.code else bytes([self.ESCAPE]) + p for p in self._parts(s))
+
+    def decode(self, data: bytes) -> bytes:
+        out, i = [], 0
+        while i < len(data):
+            if data[i] == self.ESCAPE:
+                out.append(data[i + 1 : i + 2])
+                i += 2
+            else:
+                out.append(self.symbols[data[i]])
+                i += 1
+        return b"".join(out)
+
+    def dump(self) -> bytes:
+        return bytes([len(self.symbols)]) + b"".join(bytes([len(s)]) + s for s in self.symbols)
+
+    @classmethod
+    def load(cls, data: bytes) -> tuple[SymbolTable, int]:
+        symbols, at = [], 1
+        for _ in range(data[0]):
+            symbols.append(data[at + 1 : at + 1 + data[at]])
+            at += 1 + data[at]
+        return cls(symbols), at
+
+
+def encode_strings(strings: list[bytes]) -> bytes:
+    table = SymbolTable.train(strings)
+    coded = [table.encode(s) for s in strings]
+    sizes, symbols = encode_ints(np.array([len(c) for c in coded], np.uint64)), table.dump()
+    return struct.pack("<II", len(symbols), len(sizes)) + symbols + sizes + b"".join(coded)
+
+
+def decode_strings(data: bytes) -> list[bytes]:
+    a, b = struct.unpack_from("<II", data)
+    table, _ = SymbolTable.load(data[8 : 8 + a])
+    at, out = 8 + a + b, []
+    for n in decode_ints(data[8 + a : at]).astype(int).tolist():
+        out.append(table.decode(data[at : at + n]))
+        at += n
+    return out
+
+
+INTS = ("host_key", "path_key", "depth", "discovery_source", "src_host_key", "anchor_hint", "observed_at")
+
+
+def encode_batch(rows: list[dict]) -> bytes:
+    """Discoveries sorted by key, column by column; an empty batch is an empty body."""
+    if not rows:
+        return b""
+    rows = sorted(rows, key=lambda r: (r["host_key"], r["path_key"]))
+    out = io.BytesIO()
+    for name in INTS:
+        part = encode_ints(np.array([r[name] & (2**64 - 1) for r in rows], np.uint64))
+        out.write(struct.pack("<I", len(part)) + part)
+    weights = np.array([r["link_weight"] for r in rows], "<f4").tobytes()
+    urls = encode_strings([r["canonical_url"].encode() for r in rows])
+    out.write(struct.pack("<I", len(weights)) + weights + struct.pack("<I", len(urls)) + urls)
+    body = out.getvalue()
+    return struct.pack("<II", len(rows), zlib.crc32(body)) + body
+
+
+def decode_batch(data: bytes) -> list[dict]:
+    if not data:
+        return []
+    n, check = struct.unpack_from("<II", data)
+    body = data[8:]
+    if zlib.crc32(body) != check:
+        raise ValueError("the batch is damaged")
+    at, parts = 0, []
+    for _ in range(len(INTS) + 2):
+        (size,) = struct.unpack_from("<I", body, at)
+        parts.append(body[at + 4 : at + 4 + size])
+        at += 4 + size
+    columns = {name: decode_ints(part).tolist() for name, part in zip(INTS, parts, strict=False)}
+    weights, urls = np.frombuffer(parts[-2], "<f4").tolist(), decode_strings(parts[-1])
+    return [{name: columns[name][i] for name in INTS} | {"link_weight": weights[i], "canonical_url": urls[i].decode()} for i in range(n)]
+
+
+def pack_robots(body: bytes | None) -> bytes:
+    """The shortest of: nothing (all allowed), raw, deflated."""
+    if not body:
+        return b"\0"
+    small = zlib.compress(body, 9)
+    return b"\2" + small if len(small) < len(body) else b"\1" + body
+
+
+def unpack_robots(data: bytes) -> bytes:
+    if data[:1] == b"\0":
+        return b""
+    return zlib.decompress(data[1:]) if data[:1] == b"\2" else data[1:]
