@@ -112,6 +112,7 @@ def fetch_outcomes(results: DataFrame) -> DataFrame:
 def http_hours(value: Column) -> Column:
     """Hours of an HTTP date in any of its three forms; null for anything else or before 1970."""
     clean = F.regexp_replace(F.regexp_replace(F.trim(value), "^[A-Za-z]+,? +", ""), " +", " ")
-    forms = ("dd MMM yyyy HH:mm:ss 'GMT'", "dd-MMM-yy HH:mm:ss 'GMT'", "MMM d HH:mm:ss yyyy")
+    clean = F.regexp_replace(F.regexp_replace(clean, "-([7-9][0-9]) ", "-19$1 "), "-([0-6][0-9]) ", "-20$1 ")
+    forms = ("dd MMM yyyy HH:mm:ss 'GMT'", "dd-MMM-yyyy HH:mm:ss 'GMT'", "MMM d HH:mm:ss yyyy")
     seconds = F.coalesce(*[F.unix_timestamp(F.try_to_timestamp(clean, F.lit(f))) for f in forms])
     return F.when(seconds >= 0, F.floor(seconds / 3600))

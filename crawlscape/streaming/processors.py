@@ -103,7 +103,7 @@ class Timers(StatefulProcessor):
                 self.handle.deleteTimer(self.due.get()[0])
             self.due.update((wanted,))
             self.handle.registerTimer(wanted)
-        yield pd.DataFrame({"url": [], "due_at": []})
+        yield pd.DataFrame({"url": pd.Series(dtype="object"), "due_at": pd.Series(dtype="int64")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         at = self.due.get()[0] if self.due.exists() else 0

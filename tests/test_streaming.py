@@ -50,3 +50,15 @@ def test_loop_parts(spark, tmp_path):
     query = loop.drive(spark.readStream.schema("id long").parquet(str(tmp_path / "in")), lambda df, n: seen.append(df.count()), str(tmp_path / "ck"))
     query.awaitTermination(60)
     assert sum(seen) == 5
+
+
+def test_timers_fire_when_time_passes(spark, tmp_path):
+    loop.use_state_store(spark)
+    early = spark.createDataFrame([("a", 1_000_000_060_000, 1_000_000_000), ("b", 9_000_000_000_000, 1_000_000_000)], "url string, due_ms long, at long")
+    late = spark.createDataFrame([("c", 9_000_000_000_000, 1_000_000_120)], "url string, due_ms long, at long")
+    for k, df in enumerate((early, late, late)):
+        df.select("url", "due_ms", F.timestamp_seconds("at").alias("at")).coalesce(1).write.mode("append").parquet(str(tmp_path / "src" / f"k={k}"))
+    source = spark.readStream.schema("url string, due_ms long, at timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "src" / "*"))
+    query = processors.due_timers(source, "at").writeStream.format("memory").queryName("fired").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert [(r.url, r.due_at) for r in spark.table("fired").collect()] == [("a", 1_000_000_060_000)]
