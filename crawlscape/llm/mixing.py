@@ -22,6 +22,7 @@ from .common import number_rows, parquet
 PERIOD = 4096
 BLOCK_ROWS = 16
 TEMPERATURE = 0.5
+ADDED = ("block", "release", "deadline", "slot", "row_in_block")
 
 
 def quantise(targets: Mapping[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
@@ -64,7 +65,8 @@ def pfair_period(shares: Mapping[str | None, int]) -> list[tuple[str | None, int
 
 
 def mix(docs: DataFrame, shares: Mapping[str | None, int], block_rows: int = BLOCK_ROWS, source: str = "source", order: str = "doc_id", total: int | None = None) -> DataFrame:
-    """Adds ``block``, ``release``, ``deadline``, ``slot`` and ``row_in_block`` to every row.
+    """Adds ``block``, ``release``, ``deadline``, ``slot`` and ``row_in_block`` to every row, in place of columns of
+    these names.
 
     Every row is kept. Slots of a source that has run out stay empty, so the others
     go on in their own proportions. A null source is a source of its own; sources
@@ -84,7 +86,7 @@ def mix(docs: DataFrame, shares: Mapping[str | None, int], block_rows: int = BLO
     at = at.withColumn("__p", F.expr("block div __share")).withColumn("__jj", F.expr("block % __share"))
     out = at.join(F.broadcast(plan.drop("__q")), F.col(source).eqNullSafe(F.col("__s")) & (F.col("__jj") == F.col("__j")))
     base = F.col("__p") * F.lit(period)
-    return out.select(*docs.columns, F.col("block").cast("long").alias("block"), (base + F.col("__rel")).alias("release"), (base + F.col("__due")).alias("deadline"), (base + F.col("__slot")).alias("slot"), F.expr(f"__i % {int(block_rows)}").cast("long").alias("row_in_block"))
+    return out.select(*[c for c in docs.columns if c not in ADDED], F.col("block").cast("long").alias("block"), (base + F.col("__rel")).alias("release"), (base + F.col("__due")).alias("deadline"), (base + F.col("__slot")).alias("slot"), F.expr(f"__i % {int(block_rows)}").cast("long").alias("row_in_block"))
 
 
 def tempered_shares(docs: DataFrame, source: str = "source", temperature: float = TEMPERATURE) -> dict[str | None, int]:

@@ -235,7 +235,7 @@ def find_pii(df: DataFrame, text: str = "text", weights: list[float] | None = No
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """Replaces every span by its kind in brackets; spans that overlap become one."""
-    found = find_pii(df.withColumn("__t", F.col(text)), "__t")
+    found = find_pii(df.select(F.struct("*").alias("__row"), F.col(text).alias("__t")), "__t")
     order = F.array_sort(F.transform("all_spans", lambda x: F.struct(x["start"], x["end"], x["kind"])))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -245,7 +245,8 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], gap, mark).alias("out"))
 
     clean = F.aggregate(order, start, add, lambda acc: F.concat(acc["out"], F.substring(F.col("__t"), acc["at"] + 1, F.length("__t"))))
-    return found.withColumn(text, F.when(F.size("all_spans") > 0, clean).otherwise(F.col("__t"))).select(*df.columns)
+    masked = F.when(F.size("all_spans") > 0, clean).otherwise(F.col("__t")).alias(text)
+    return found.select(*[masked if c == text else F.col(f"__row.`{c}`").alias(c) for c in df.columns])
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

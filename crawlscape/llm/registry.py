@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, jaccard, licenses, mixing, pii, quality, sharding, token_files, topk
+from . import bpe, fingerprints, jaccard, licenses, mixing, oracles, pii, quality, sharding, token_files, topk
 
 
 def queries() -> dict:
@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_top_products": topk.OP2_SQL}
+    return dict(oracles.SQL)
