@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-QUERY_MODULES: tuple[str, ...] = ("crawlscape.plans.web", "crawlscape.plans.content", "crawlscape.plans.graph", "crawlscape.plans.history", "crawlscape.plans.fleet")
+QUERY_MODULES: tuple[str, ...] = ("crawlscape.plans.web", "crawlscape.plans.content", "crawlscape.plans.graph", "crawlscape.plans.history", "crawlscape.plans.fleet", "crawlscape.plans.control")
 
 
 def _collect(attribute: str) -> dict:

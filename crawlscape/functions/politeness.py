@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import Politeness
+from ..schema import STATUS, Politeness
 
 
 def deci_to_ms(deci: Column) -> Column:
@@ -58,3 +58,9 @@ def fold_outcomes(events: Column, delay: Column, p: Politeness = Politeness()) -
         return F.struct(now.alias("interval"), smooth(acc["average"], e["latency"]).alias("average"), (acc["crawls"] + F.when(e["status"] > 0, one).otherwise(zero)).alias("crawls"), (acc["errors"] + F.when(bad, one).otherwise(zero)).alias("errors"), streak.alias("streak"), (acc["dead"] | (streak >= p.dead_after)).alias("dead"))
 
     return F.aggregate(events, start, step)
+
+
+def status_name(status: Column) -> Column:
+    """The state's name, or status(n) for a number without one."""
+    names = F.create_map(*[F.lit(x) for kv in STATUS.items() for x in kv])
+    return F.coalesce(F.try_element_at(names, status.cast("int")), F.concat(F.lit("status("), status.cast("string"), F.lit(")")))

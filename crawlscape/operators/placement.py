@@ -43,12 +43,23 @@ def preferences(partitions: DataFrame, machines: DataFrame, replicas: int, weigh
     return scored.withColumn("rank", rank).where(F.col("rank") <= replicas + 1).select("partition_id", "machine_id", "rank")
 
 
-def route(rows: DataFrame, key: Column, manifest: DataFrame) -> DataFrame:
-    """Adds ``partition_id`` of the file whose range holds the key, null in a gap. The manifest is a few rows per
-    file and is searched as one sorted array, so that no range join is needed."""
-    ranges = manifest.agg(F.sort_array(F.collect_list(F.struct(F.col("lo"), F.col("hi"), F.col("partition_id")))).alias("__ranges"))
-    hit = F.get(F.filter("__ranges", lambda r: (r["lo"] <= F.col("__k")) & (F.col("__k") <= r["hi"])), F.lit(0))
-    return rows.withColumn("__k", key).join(F.broadcast(ranges)).withColumn("partition_id", hit["partition_id"]).drop("__k", "__ranges")
+def route(rows: DataFrame, key: Column, manifest: DataFrame, cells: int = 4096) -> DataFrame:
+    """Adds ``partition_id`` of the file whose range holds the key, null in a gap.
+
+    The span of all ranges is cut into cells of equal width and each range listed in the cells it touches: at
+    most ``cells`` rows more than there are files. A key then meets the few ranges of its cell by an equi-join,
+    which the optimizer may broadcast. Keys are halved in precision for the cells only, so that no difference
+    of two 64-bit keys overflows."""
+    low, high = manifest.agg(F.min("lo"), F.max("hi")).head()
+    if low is None:
+        return rows.withColumn("partition_id", F.lit(None).cast("long"))
+    base, width = low >> 12, ((high >> 12) - (low >> 12)) // cells + 1
+    cell = lambda k: F.expr(f"({k} - ({base})) div {width}")
+    ends = manifest.select("lo", "hi", "partition_id", F.shiftright("lo", 12).alias("__l"), F.shiftright("hi", 12).alias("__h"))
+    listed = ends.select(F.col("lo").alias("__lo"), F.col("hi").alias("__hi"), F.col("partition_id").alias("__p"), F.explode(F.sequence(cell("__l"), cell("__h"))).alias("__c"))
+    keyed = rows.withColumn("__k", key.cast("long")).withColumn("__s", F.shiftright("__k", 12)).withColumn("__kc", cell("__s"))
+    hit = (F.col("__kc") == F.col("__c")) & (F.col("__lo") <= F.col("__k")) & (F.col("__k") <= F.col("__hi"))
+    return keyed.join(listed, hit, "left").withColumn("partition_id", F.col("__p")).drop("__k", "__s", "__kc", "__c", "__p", "__lo", "__hi")
 
 
 def coverage_breaks(manifest: DataFrame, lowest: int, highest: int) -> DataFrame:
@@ -77,6 +88,16 @@ def newest_epoch(signals: DataFrame, key: str, value: str, seen: int = -1) -> Da
     return signals.where(F.col("epoch") > seen).groupBy(key).agg(F.max_by(F.struct("epoch", value), "epoch").alias("s")).select(key, "s.epoch", f"s.{value}")
 
 
+def split_signals(signals: DataFrame, key: Column, partitions: int, self_id: int) -> DataFrame:
+    """Adds ``owner`` and ``local`` to imported scores, by the host they speak of."""
+    return signals.withColumn("owner", owner(key, partitions)).withColumn("local", F.col("owner") == self_id)
+
+
+def span_fraction(low: Column, high: Column) -> Column:
+    """Share of the 64-bit key space that an inclusive range of sign-flipped keys spans."""
+    return (high.cast("double") - low.cast("double") + 1) / F.lit(2.0**64)
+
+
 def health(beats: DataFrame, partition: str = "partition_id", tick: str = "tick", failed_after: int = 3) -> DataFrame:
     """Adds ``misses``, ``state`` and ``epoch``: consecutive missed beats, the state they mean, and the number of
     state changes so far. ``beats`` has ``ok`` for every tick."""

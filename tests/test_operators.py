@@ -137,3 +137,18 @@ def test_handoff_needs_a_matching_ack(spark):
 @pytest.mark.parametrize("partitions", [4])
 def test_mean_backlog(spark, partitions):
     assert placement.mean_backlog(spark.createDataFrame([(1, 9), (2, 4)], "p int, depth int"), partitions).head()[0] == 3
+
+
+def test_partition_map_edits_move_forward():
+    from crawlscape.operators.control import PartitionMap
+
+    m = PartitionMap().set_machines((3, 1, 2), replicas=1).add_partition().add_partition()
+    assert m.partitions == 3 and m.epoch == 4 and len(m.placement(2)) == 2
+    pinned = m.pin(99, 2)
+    assert pinned.owner(99) == 2 and pinned.remove_partition().owner(99) in (0, 1)
+    assert m.set_health(1, "healthy") is m and m.set_health(1, "failed").epoch == m.epoch + 1
+    primary = m.placement(0)[0]
+    assert primary not in m.fail_machine(primary).placement(0) and m.fail_machine(77) is m
+    assert pinned.newer(m) is pinned and m.newer(pinned) is pinned and PartitionMap().remove_partition().partitions == 1
+    with pytest.raises(ValueError):
+        m.pin(1, 9)
