@@ -27,6 +27,14 @@ def parquet(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def bounded_batches(df: DataFrame, rows: int = 2000) -> None:
+    """Arrow batches of whole texts of at most ``rows`` rows, unless the session asks for fewer: the default
+    of 10,000 holds several copies of 10,000 texts in every task."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage, removed on demand."""
 
@@ -34,12 +42,19 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        path, conf = f"{self.root}/{name}", self.spark.conf
+        # once the table is written its shuffle files have no reader left
+        tidy = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = conf.get(tidy, None)
+        conf.set(tidy, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            conf.unset(tidy) if before is None else conf.set(tidy, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Removes tables that no later plan reads, and lets Spark clear the shuffle files behind them."""
+        """Removes tables that no later plan reads."""
         jvm = self.spark.sparkContext._jvm
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")

@@ -23,7 +23,6 @@ def components(links: DataFrame, scratch: Scratch, name: str, most_rounds: int =
         jump = lower.join(labels.select(F.col("v").alias("w"), F.col("l").alias("j")), F.col("l") == F.col("w"), "left").select("v", "old", F.least("l", F.coalesce("j", "l")).alias("l"))
         new = scratch.keep(jump, f"{name}-{k}")
         moved = new.where("old <> l").limit(1).count()
-        scratch.drop(f"{name}-{k - 1}")
         labels = new.select("v", "l")
         if not moved:
             return labels.select(F.col("v").alias("node"), F.col("l").alias("comp"))

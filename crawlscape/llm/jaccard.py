@@ -13,8 +13,8 @@ the larger one, and so:
    Lists are cut into blocks of sizes; only neighbouring blocks can hold linked
    sets and others are skipped, as are blocks whose positions leave too few
    shingles to share.
-3. *Answers from a similar set.* Each set is compared with one leader of its lists.
-   Linked sets form the leader's cluster with their Jaccard distance to it. As that
+3. *Answers from a similar set.* Each set is compared with leaders of its lists.
+   Linked sets form a leader's cluster with their Jaccard distance to it. As that
    distance is a metric, the distance of two leaders decides on all pairs of their
    clusters at once, unless it lies within the clusters' radii of the threshold;
    only then pairs of members are verified, and only those that their own distances
@@ -30,22 +30,25 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, parquet
+from .common import Scratch, bounded_batches, parquet
 from .graph import components
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 75, 100
 EXTRA = 0.05
+ROUNDS, TRIES, CELL = 5, 3, 512
+LIMIT = 1 - NUMERATOR / DENOMINATOR + 1e-9
 BROADCAST_ROWS = 4_000_000
 _STEP, _MIX = np.uint64(0x9E6C63D0876A9A47), np.uint64(0xD6E8FEB86659FD93)
 
 
 class Shingler:
-    CACHE = 1_000_000
+    CACHE = 200_000
 
     def __init__(self, width: int = WIDTH):
         self.width, self.known = width, {}
@@ -109,12 +112,13 @@ def shingle_sets(df: DataFrame, text: str, keep: list[str], width: int = WIDTH)
                     sid = xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63) if len(found) else None
                     sids.append(sid), sizes.append(len(found))
                     tokens.append(None if sid is None or sid in seen else found.view(np.int64))
-                    if len(seen) > 2_000_000:
+                    if len(seen) > 300_000:
                         seen.clear()
                     seen.add(sid)
                 own = [pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *own], names=[*keep, "sid", "n_shingles", "tokens"])
 
+    bounded_batches(df)
     kept = df.select(*keep, text)
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
     return kept.mapInArrow(run, f"{head}, sid long, n_shingles long, tokens array<long>")
@@ -176,6 +180,81 @@ def _few(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _stars(index: DataFrame, kept: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (a, b, dist) of sets with leaders of their lists, found in rounds.
+
+    At first a list of one block has one leader, and a set takes the leader that most of its lists name.
+    Then lists that hold several components name leaders in their largest one, and only sets outside of
+    it try them, the few that most lists name. The labels between rounds only steer the next round."""
+    leaders = index.groupBy("token", "block").agg(F.min("sid").alias("leader"), F.max("sid").alias("__m")).where("leader <> __m").drop("__m")
+    chosen = index.join(leaders, ["token", "block"]).where("sid <> leader").groupBy("sid", "leader").count()
+    chosen = chosen.groupBy("sid").agg(F.max(F.struct("count", F.col("leader").alias("leader"))).alias("c")).select(F.col("sid").alias("a"), F.col("c.leader").alias("b"))
+    found = scratch.keep(_verified(chosen, kept).where("linked").select("a", "b", "dist"), "stars-0")
+    own = found.select(F.col("a").alias("sid"), F.col("b").alias("comp"))
+    followed = own.join(own.select(F.col("sid").alias("comp"), F.col("comp").alias("next")), "comp", "left").select("sid", F.coalesce("next", "comp").alias("comp"))
+    labels = scratch.keep(followed, "labels-0")
+    for k in range(1, ROUNDS):
+        placed = index.join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+        picks = [F.min_by(F.struct("sid", "n"), F.xxhash64("sid", F.lit(TRIES * k + j))).alias(f"l{j}") for j in range(TRIES)]
+        parts = placed.groupBy("token", "comp").agg(F.count("*").alias("size"), *picks)
+        major = parts.groupBy("token").agg(F.max_by(F.struct(F.col("comp").alias("major"), *[f"l{j}" for j in range(TRIES)]), F.struct("size", "comp")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("token", "m.*")
+        outside = placed.join(major, "token").where("comp <> major").select("sid", "n", "comp", "major", F.explode(F.array(*[f"l{j}" for j in range(TRIES)])).alias("l"))
+        fitting = outside.where((F.col("n") * DENOMINATOR >= F.col("l.n") * NUMERATOR) & (F.col("l.n") * DENOMINATOR >= F.col("n") * NUMERATOR))
+        named = fitting.groupBy("sid", "comp", F.col("l.sid").alias("b"), "major").count()
+        top = named.groupBy("sid", "comp").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "b", "major")), False), 1, TRIES).alias("t"))
+        pairs = top.select(F.col("sid").alias("a"), "comp", F.explode("t").alias("t")).select("a", "comp", "t.b", "t.major")
+        new = scratch.keep(_verified(pairs, kept).where("linked").select("a", "b", "dist", "comp", "major"), f"stars-{k}")
+        found = found.union(new.select("a", "b", "dist"))
+        if new.limit(1).count() == 0:
+            break
+        moved = new.groupBy("comp").agg(F.min("major").alias("to"))
+        nodes = index.select("sid").distinct().join(labels, "sid", "left").select("sid", F.coalesce("comp", "sid").alias("comp"))
+        labels = scratch.keep(nodes.join(moved, "comp", "left").select("sid", F.coalesce("to", "comp").alias("comp")), f"labels-{k}")
+    return found
+
+
+def _member_links(wide: DataFrame, members: DataFrame, kept: DataFrame) -> DataFrame:
+    """Pairs (a, b) of clusters, of those in ``wide`` (ka, kb, na, nb, apart), some members of which are linked.
+
+    The members of ka, in blocks, meet the members of all its kb, in blocks: a cell compares what the
+    distances leave open and stops at a pair's first link. Cells are bounded on either side."""
+    sets = members.join(kept.select("sid", "tokens"), "sid").select("cluster", "sid", "eps", "tokens")
+    per = wide.groupBy("ka").agg(F.max("na").alias("na"), F.sum("nb").alias("others"))
+    cut = per.select("ka", F.ceil(F.col("na") / CELL).cast("int").alias("blocks"), F.ceil(F.col("others") / CELL).cast("int").alias("groups"))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    left = sets.join(cut, F.col("cluster") == F.col("ka")).withColumn("block", block("sid", "blocks")).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    other = sets.join(wide.select("ka", "kb", "apart"), F.col("cluster") == F.col("kb")).join(cut, "ka").withColumn("group", block("sid", "groups")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    right = other.select(*[F.col(c).alias(f"r_{c}") for c in ("ka", "block", "group", "kb", "apart", "eps", "tokens")])
+
+    def cell(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        found: set = set()
+        if len(one) and len(two):
+            sizes = one["tokens"].map(len).to_numpy(np.int64)
+            flat, owner = np.concatenate(one["tokens"].to_list()), np.repeat(np.arange(len(one)), sizes)
+            eps, ka = one["eps"].to_numpy(), int(one["ka"].iloc[0])
+            for kb, apart, e, tokens in zip(two["r_kb"], two["r_apart"], two["r_eps"], two["r_tokens"], strict=True):
+                if (ka, kb) in found:
+                    continue
+                n = len(tokens)
+                open_ = (apart <= LIMIT + eps + e) & (DENOMINATOR * sizes >= NUMERATOR * n) & (DENOMINATOR * n >= NUMERATOR * sizes)
+                if not open_.any():
+                    continue
+                shared = np.bincount(owner[np.isin(flat, tokens)], minlength=len(one))
+                if (open_ & (DENOMINATOR * shared >= NUMERATOR * (sizes + n - shared))).any():
+                    found.add((ka, int(kb)))
+        return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
+
+    keys = ["ka", "block", "group"]
+    return left.select(*keys, "eps", "tokens").groupBy(*keys).cogroup(right.groupBy(*[f"r_{k}" for k in keys])).applyInPandas(cell, "a long, b long").distinct()
+
+
+def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """Pairs of clusters (ka, kb, ...) that lie in different components."""
+    a = comps.select(F.col("node").alias("ka"), F.col("comp").alias("__ca"))
+    b = comps.select(F.col("node").alias("kb"), F.col("comp").alias("__cb"))
+    return pairs.join(a, "ka", "left").join(b, "kb", "left").where("coalesce(__ca, ka) <> coalesce(__cb, kb)").drop("__ca", "__cb")
+
+
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "jaccard") -> DataFrame:
     """(key, n_shingles, component_id): the smallest key reachable by links.
 
@@ -211,16 +290,13 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", la
     index = listed.select("sid", "n", "alone", block.alias("block"), F.posexplode(head).alias("at", "s"))
     index = scratch.keep(index.select("sid", "n", "block", (F.col("alone") + F.col("at")).alias("pos"), F.col("s.token").alias("token")), "index")
 
-    # one leader for each set: the one that most of its lists name
-    leaders = index.groupBy("token", "block").agg(F.min("sid").alias("leader"), F.max("sid").alias("__m")).where("leader <> __m").drop("__m")
-    chosen = index.join(leaders, ["token", "block"]).where("sid <> leader").groupBy("sid", "leader").count()
-    chosen = chosen.groupBy("sid").agg(F.max(F.struct("count", F.col("leader").alias("leader"))).alias("c")).select(F.col("sid").alias("a"), F.col("c.leader").alias("b"))
-    stars = scratch.keep(_verified(chosen, kept).where("linked").select("a", "b", "dist"), "stars")
+    tried = scratch.keep(_stars(index, kept, scratch), "tried")
+    stars = scratch.keep(tried.groupBy("a").agg(F.min(F.struct("dist", "b")).alias("s")).select("a", "s.b", "s.dist"), "stars")
     pivots = stars.select(F.col("b").alias("pivot")).distinct()
     members = index.select("sid", "n", "block").distinct().join(stars.select(F.col("a").alias("sid"), F.col("b").alias("__l"), "dist"), "sid", "left").join(pivots.select(F.col("pivot").alias("sid"), F.lit(True).alias("__p")), "sid", "left")
     follows = F.col("__p").isNull() & F.col("__l").isNotNull()
     members = scratch.keep(members.select("sid", "n", "block", F.when(follows, F.col("__l")).otherwise(F.col("sid")).alias("cluster"), F.when(follows, F.col("dist")).otherwise(F.lit(0.0)).alias("eps")), "members")
-    comps = components(stars, scratch, "first")
+    comps = components(tried, scratch, "first")
 
     # leaders of clusters in different components that meet in a list
     placed = index.join(members.select("sid", "cluster"), "sid").join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
@@ -235,18 +311,16 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", la
     meet = a.alias("x").join(b.alias("y"), same[0] & same[1] & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & room & fits)
     judged = scratch.keep(_verified(meet.select("a", "b").distinct(), kept), "judged")
 
-    # pairs of clusters that their leaders' distance leaves open, then the pairs of members that it does
-    radius = members.groupBy("cluster").agg(F.max("eps").alias("r"))
-    limit = 1 - NUMERATOR / DENOMINATOR + 1e-9
-    links = stars.select("a", "b").union(judged.where("linked").select("a", "b"))
+    # pairs of clusters that their leaders' distance leaves open
+    radius = members.groupBy("cluster").agg(F.max("eps").alias("r"), F.count("*").alias("size"))
+    links = tried.select("a", "b").union(judged.where("linked").select("a", "b"))
     comps = components(links, scratch, "second")
-    known = comps.withColumnRenamed("comp", "__c")
-    open_ = judged.where("not linked").join(radius.select(F.col("cluster").alias("a"), F.col("r").alias("ra")), "a").join(radius.select(F.col("cluster").alias("b"), F.col("r").alias("rb")), "b").where(F.col("dist") <= limit + F.col("ra") + F.col("rb")).where("ra > 0 or rb > 0")
-    open_ = open_.join(known.select(F.col("node").alias("a"), F.col("__c").alias("__ca")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("__c").alias("__cb")), "b", "left").where("coalesce(__ca, a) <> coalesce(__cb, b)").select("a", "b", F.col("dist").alias("apart"))
-    one = members.select(F.col("cluster").alias("a"), F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("eps").alias("ex"))
-    two = members.select(F.col("cluster").alias("b"), F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("eps").alias("ey"))
-    within = open_.join(one, "a").alias("p").join(two.alias("q"), (F.col("p.b") == F.col("q.b")) & (F.col("apart") <= limit + F.col("ex") + F.col("ey")) & (F.col("nx") * DENOMINATOR >= F.col("ny") * NUMERATOR) & (F.col("ny") * DENOMINATOR >= F.col("nx") * NUMERATOR))
-    more = scratch.keep(_verified(within.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), kept).where("linked").select("a", "b"), "more")
+    wide = judged.where("not linked").join(radius.select(F.col("cluster").alias("a"), F.col("r").alias("ra"), F.col("size").alias("na")), "a").join(radius.select(F.col("cluster").alias("b"), F.col("r").alias("rb"), F.col("size").alias("nb")), "b")
+    wide = wide.where((F.col("dist") <= LIMIT + F.col("ra") + F.col("rb")) & ((F.col("ra") > 0) | (F.col("rb") > 0)))
+    larger = F.col("na") >= F.col("nb")
+    wide = wide.select(*[F.when(larger, F.col(x)).otherwise(F.col(y)).alias(n) for n, x, y in (("ka", "a", "b"), ("kb", "b", "a"), ("na", "na", "nb"), ("nb", "nb", "na"))], F.col("dist").alias("apart"))
+    wide = scratch.keep(_apart(wide, comps), "wide")
+    more = scratch.keep(_member_links(wide, members, kept), "more")
     comps = components(links.union(more), scratch, "third") if more.limit(1).count() else comps
 
     # back to the documents: classes of equal sets, then components of classes
