@@ -156,7 +156,7 @@ def canonical_url(url: Column, base: Column | None = None, policy: CanonPolicy =
     if policy.fold_case:
         path, query = F.lower(path), F.lower(query)
     built = F.concat(scheme, F.lit("://"), host, port, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
-    return F.when(plain, built).otherwise(canonical_udf(policy)(url, F.lit(None).cast("string") if base is None else base))
+    return F.when(plain, built).otherwise(canonical_udf(policy)(F.when(~plain, url), F.lit(None).cast("string") if base is None else base))
 
 
 def fold_index(path: Column) -> Column:

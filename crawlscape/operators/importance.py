@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.importance import blend, opic_score, penalised
 from ..schema import Importance
+from ..storage import cutter
 
 
 def credit(discoveries: DataFrame, target: str, weight: str) -> DataFrame:
@@ -36,8 +37,9 @@ def scores(state: DataFrame, teleport: DataFrame, p: Importance = Importance())
 
 def pagerank(links: DataFrame, rounds: int = 20, damping: float = 0.85, keep=None) -> DataFrame:
     """(node, rank) after ``rounds`` power iterations; ranks add up to 1, the mass of pages without links is
-    spread evenly. ``keep(df, name)`` may write each round to cut lineage."""
-    keep = keep or (lambda df, name: df)
+    spread evenly. Each round is written (``keep(df, name)``): a round reads the one before twice, so that
+    plans left to pile up would double with every round."""
+    keep = keep or cutter(links.sparkSession, "pagerank")
     edges = keep(links.select("src", "dst").distinct(), "edges")
     nodes = keep(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct(), "nodes")
     n = nodes.count()
