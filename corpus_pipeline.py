@@ -17,7 +17,7 @@ from crawlscape.llm.common import Scratch, parquet
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: learns from the labels and keeps documents scored 0.3 or more."""
     model = quality.train(docs, parquet(spark, sf_dir, "labels"))
-    return quality.score(docs, model, keep=tuple(c for c in docs.columns if c != "text") + ("text",)).where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+    return quality.score(docs, model, keep=tuple(docs.columns), out="__score").where(F.col("__score") >= quality.THRESHOLD).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +45,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not shares:
         return docs
     total = docs.count()
-    slots = mixing.mix(docs, shares, total=total)
+    rows = docs.select("doc_id", "source", F.struct("*").alias("__row"))
+    slots = mixing.mix(rows, shares, total=total)
     files = max(1, min(4096, -(-total // 5000)))
-    return slots.repartitionByRange(files, "slot", "row_in_block").sortWithinPartitions("slot", "row_in_block").select(*docs.columns)
+    return slots.repartitionByRange(files, "slot", "row_in_block").sortWithinPartitions("slot", "row_in_block").select("__row.*")
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import parquet
+from .common import bounded_batches, parquet
 
 START, DEAD = -1, -2
 NEVER = 1 << 60
@@ -85,7 +85,7 @@ class Automaton:
         known = self.table.get(key)
         if known is None:
             known = self.table[key] = self._arc(state, label)
-            if len(self.table) > 4_000_000:
+            if len(self.table) > 400_000:
                 self.table.clear()
         return known
 
@@ -103,7 +103,7 @@ class WordBpe:
     """A byte-level BPE with word ends, read from a tokenizers file: split, encode and decode."""
 
     SAFE = re.compile("[^\\x00-ɏ‐-‧‰-⁞₠-₿]")
-    CACHE = 400_000
+    CACHE = 150_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -238,6 +238,7 @@ def bpe(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *own], names=names)
 
+    bounded_batches(df)
     kept = df.select(*keep, text)
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
     return kept.mapInArrow(run, f"{head}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")

@@ -16,7 +16,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import parquet
+from .common import bounded_batches, parquet
 
 # Base phrases and their labels.
 BASE_PHRASES = {
@@ -199,6 +199,7 @@ def scan_licenses(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
             out = [pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *out], names=[*keep, *names])
 
+    bounded_batches(df)
     kept = df.select(*keep, text)
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
     return kept.mapInArrow(run, f"{head}, {SCHEMA}")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parquet
+from .common import bounded_batches, parquet
 
 PASSAGE, HASHED, EMBED, ATTEND = 48, 64, 32, 16
 MAX_TRAIN, EPOCHS, THRESHOLD, FOLDS = 4000, 60, 0.3, 5
@@ -149,25 +149,29 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["__y"].astype("int32"), "x": [encode(t).tobytes() for t in pdf["text"]]})
 
+    bounded_batches(docs)
     rows = picked.mapInPandas(features, "doc_id long, y int, x binary").toPandas()
     rows = rows.sort_values(["doc_id", "x"], kind="stable").drop_duplicates("doc_id")
     bags = [np.frombuffer(x, np.float32).reshape(-1, SIZE) for x in rows["x"]]
     return Model().fit(bags, rows["y"].to_numpy(float))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` and ``score`` of every row; null and empty texts are scored as a passage without words."""
+def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "score") -> DataFrame:
+    """``keep`` and ``out`` of every row; null and empty texts are scored as a passage without words."""
+    names = [*keep, *([] if text in keep else [text])]
+    at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores: list[float] = []
-            for k in range(0, batch.num_rows, 256):
-                scores += model.score([encode(t) for t in batch.column(batch.num_columns - 1).slice(k, 256).to_pylist()]).tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*keep, "score"])
-
-    kept = docs.select(*keep, text)
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(run, f"{head}, score double")
+            for k in range(0, batch.num_rows, 128):
+                scores += model.score([encode(t) for t in batch.column(at).slice(k, 128).to_pylist()]).tolist()
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores, pa.float64())], names=[*keep, out])
+
+    bounded_batches(docs)
+    kept = docs.select(*names)
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[: len(keep)])
+    return kept.mapInArrow(run, f"{head}, `{out}` double")
 
 
 def op10_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

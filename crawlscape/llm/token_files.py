@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, parquet
+from .common import Scratch, bounded_batches, parquet
 
 BLOCK_TOKENS = 1 << 18
 END = 50256
@@ -107,6 +107,7 @@ def write_flat(docs: DataFrame, path: str, block_tokens: int = BLOCK_TOKENS) ->
         if buffer:
             yield row(bytes(buffer), ids)
 
+    bounded_batches(docs)
     return docs.select("doc_id", "text").mapInArrow(run, "file string, block long, payload binary, doc_ids array<long>")
 
 
