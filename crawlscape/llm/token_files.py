@@ -71,11 +71,15 @@ def scan(blocks: DataFrame, end: int = END, width: int = 2) -> DataFrame:
 
 @lru_cache(maxsize=2)
 def _encoder(path: str):
-    from tokenizers import Tokenizer
+    """Text to ids with the ranks in ``path``; strings of special tokens are ordinary text."""
+    import base64
 
-    coder = Tokenizer.from_file(path)
-    coder.encode_special_tokens = True
-    return coder
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as file:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 def write_flat(docs: DataFrame, path: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -86,7 +90,7 @@ def write_flat(docs: DataFrame, path: str, block_tokens: int = BLOCK_TOKENS) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder = _encoder(path)
+        encode = _encoder(path)
         file, block, buffer, ids = f"stream-{TaskContext.get().partitionId():06d}", 0, bytearray(), []
 
         def row(data: bytes, done: list) -> pa.RecordBatch:
@@ -97,8 +101,7 @@ def write_flat(docs: DataFrame, path: str, block_tokens: int = BLOCK_TOKENS) ->
                 texts = [t or "" for t in batch.column(1).slice(k, 64).to_pylist()]
                 keys = batch.column(0).slice(k, 64).to_pylist()
                 for key, text in zip(keys, texts, strict=True):
-                    found = coder.encode(text, add_special_tokens=False).ids
-                    buffer += np.array([*found, END], "<u2").tobytes()
+                    buffer += np.array([*encode(text), END], "<u2").tobytes()
                     while len(buffer) > size:
                         yield row(bytes(buffer[:size]), ids)
                         del buffer[:size]
@@ -114,7 +117,7 @@ def write_flat(docs: DataFrame, path: str, block_tokens: int = BLOCK_TOKENS) ->
 def byte_bpe_path() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+import public_tokenizers
 from tokenizers import Tokenizer
 
 from crawlscape.llm import token_files
@@ -22,7 +23,7 @@ def test_raw_files(spark, tmp_path):
 
 def test_counts_equal_the_library(spark, edge, nothing, tmp_path):
     edge.write.parquet(str(tmp_path / "documents.parquet"))
-    coder = Tokenizer.from_file(token_files.byte_bpe_path())
+    coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     coder.encode_special_tokens = True
     wanted = sorted((str(r.doc_id), len(coder.encode(r.text or "", add_special_tokens=False).ids)) for r in edge.collect())
     assert sorted((str(r.doc_id), r.n_tokens) for r in token_files.op8_token_counts(spark, str(tmp_path)).collect()) == wanted
