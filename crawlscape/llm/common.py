@@ -40,6 +40,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path, conf = f"{self.root}/{name}", self.spark.conf
@@ -51,6 +52,7 @@ class Scratch:
             df.write.mode("overwrite").parquet(path)
         finally:
             conf.unset(tidy) if before is None else conf.set(tidy, before)
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -59,6 +61,11 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.names.difference_update(names)
+
+    def only(self, *names: str) -> None:
+        """Removes all tables but these."""
+        self.drop(*sorted(self.names.difference(names)))
 
 
 def number_rows(df: DataFrame, group: list[str], order: list[str], total: int, rows_per_bucket: int = 500, name: str = "slot") -> DataFrame:

@@ -180,8 +180,9 @@ def _few(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _stars(index: DataFrame, kept: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links (a, b, dist) of sets with leaders of their lists, found in rounds.
+def _stars(index: DataFrame, kept: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b, dist) of sets with leaders of their lists, found in rounds, and the lists that may still
+    hold several components.
 
     At first a list of one block has one leader, and a set takes the leader that most of its lists name.
     Then lists that hold several components name leaders in their largest one, and only sets outside of
@@ -193,12 +194,15 @@ def _stars(index: DataFrame, kept: DataFrame, scratch: Scratch) -> DataFrame:
     own = found.select(F.col("a").alias("sid"), F.col("b").alias("comp"))
     followed = own.join(own.select(F.col("sid").alias("comp"), F.col("comp").alias("next")), "comp", "left").select("sid", F.coalesce("next", "comp").alias("comp"))
     labels = scratch.keep(followed, "labels-0")
+    lists = index
     for k in range(1, ROUNDS):
-        placed = index.join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+        placed = lists.join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
         picks = [F.min_by(F.struct("sid", "n"), F.xxhash64("sid", F.lit(TRIES * k + j))).alias(f"l{j}") for j in range(TRIES)]
         parts = placed.groupBy("token", "comp").agg(F.count("*").alias("size"), *picks)
         major = parts.groupBy("token").agg(F.max_by(F.struct(F.col("comp").alias("major"), *[f"l{j}" for j in range(TRIES)]), F.struct("size", "comp")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("token", "m.*")
-        outside = placed.join(major, "token").where("comp <> major").select("sid", "n", "comp", "major", F.explode(F.array(*[f"l{j}" for j in range(TRIES)])).alias("l"))
+        held = scratch.keep(placed.join(major, "token"), f"lists-{k}")
+        lists = held.select(*index.columns)
+        outside = held.where("comp <> major").select("sid", "n", "comp", "major", F.explode(F.array(*[f"l{j}" for j in range(TRIES)])).alias("l"))
         fitting = outside.where((F.col("n") * DENOMINATOR >= F.col("l.n") * NUMERATOR) & (F.col("l.n") * DENOMINATOR >= F.col("n") * NUMERATOR))
         named = fitting.groupBy("sid", "comp", F.col("l.sid").alias("b"), "major").count()
         top = named.groupBy("sid", "comp").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "b", "major")), False), 1, TRIES).alias("t"))
@@ -210,7 +214,7 @@ def _stars(index: DataFrame, kept: DataFrame, scratch: Scratch) -> DataFrame:
         moved = new.groupBy("comp").agg(F.min("major").alias("to"))
         nodes = index.select("sid").distinct().join(labels, "sid", "left").select("sid", F.coalesce("comp", "sid").alias("comp"))
         labels = scratch.keep(nodes.join(moved, "comp", "left").select("sid", F.coalesce("to", "comp").alias("comp")), f"labels-{k}")
-    return found
+    return found, lists
 
 
 def _member_links(wide: DataFrame, members: DataFrame, kept: DataFrame) -> DataFrame:
@@ -290,7 +294,8 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", la
     index = listed.select("sid", "n", "alone", block.alias("block"), F.posexplode(head).alias("at", "s"))
     index = scratch.keep(index.select("sid", "n", "block", (F.col("alone") + F.col("at")).alias("pos"), F.col("s.token").alias("token")), "index")
 
-    tried = scratch.keep(_stars(index, kept, scratch), "tried")
+    tried, lists = _stars(index, kept, scratch)
+    tried = scratch.keep(tried, "tried")
     stars = scratch.keep(tried.groupBy("a").agg(F.min(F.struct("dist", "b")).alias("s")).select("a", "s.b", "s.dist"), "stars")
     pivots = stars.select(F.col("b").alias("pivot")).distinct()
     members = index.select("sid", "n", "block").distinct().join(stars.select(F.col("a").alias("sid"), F.col("b").alias("__l"), "dist"), "sid", "left").join(pivots.select(F.col("pivot").alias("sid"), F.lit(True).alias("__p")), "sid", "left")
@@ -299,7 +304,7 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", la
     comps = components(tried, scratch, "first")
 
     # leaders of clusters in different components that meet in a list
-    placed = index.join(members.select("sid", "cluster"), "sid").join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    placed = lists.join(members.select("sid", "cluster"), "sid").join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     mixed = placed.groupBy("token").agg(F.min("comp").alias("__a"), F.max("comp").alias("__b")).where("__a <> __b").select("token")
     runs = placed.join(mixed, "token").groupBy("token", "block", "cluster", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("pos").alias("pos"))
     runs = scratch.keep(runs, "runs")
@@ -328,6 +333,8 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", la
     tied = comps.join(classes.withColumnRenamed("sid", "node"), "node")
     tops = tied.groupBy("comp").agg(F.min("least").alias("top"))
     named = classes.join(tied.join(tops, "comp").select(F.col("node").alias("sid"), "top"), "sid", "left").select(F.col("sid").alias("__s"), F.coalesce("top", "least").alias("component_id"))
+    named = scratch.keep(named, "named")
+    scratch.only("light", "named")
     out = light.where("sid is not null").join(named, F.col("sid") == F.col("__s")).select(F.col("key").alias(key), "n_shingles", "component_id")
     return out.unionByName(light.where("sid is null").select(F.col("key").alias(key), "n_shingles", F.col("key").alias("component_id")))
 
