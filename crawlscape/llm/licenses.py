@@ -146,7 +146,7 @@ class Scanner:
             at: dict[int, list[int]] = {}
             for p, w in enumerate(text):
                 at.setdefault(w, []).append(p)
-            chains: list[tuple[int, int, int, int]] = []  # covered, first word, end in document, end in template
+            chains: list[tuple[int, int, int, int, int]] = []  # covered, first word, end in document, end in template, its last run's start
             for start, size, _ in runs:
                 for p in at.get(self.ids[words[start]], ()):
                     n = 0
@@ -154,14 +154,16 @@ class Scanner:
                         n += 1
                     if n < MIN_RUN:
                         continue
-                    best = (n, start, start + n, p + n)
-                    for c, first, de, te in reversed(chains[-64:]):
+                    best = (n, start, start + n, p + n, start)
+                    for c, first, de, te, begun in reversed(chains):
+                        if begun < start - len(text) - MAX_GAP:
+                            break  # no run is longer than the template, so earlier chains end too far away
                         lap = max(0, de - start, te - p)
                         if lap < n and start - de <= MAX_GAP and p - te <= MAX_GAP and de <= start + n and te <= p + n and c + n - lap > best[0]:
-                            best = (c + n - lap, first, start + n, p + n)
+                            best = (c + n - lap, first, start + n, p + n, start)
                     chains.append(best)
             if chains:
-                c, first, end, _ = max(chains, key=lambda x: (x[0], -x[1]))
+                c, first, end, _, _ = max(chains, key=lambda x: (x[0], -x[1]))
                 found[self.names[k]] = (c / self.sizes[k], first, end - 1)
         return found
 
