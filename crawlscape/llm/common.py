@@ -17,9 +17,9 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     own = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not own:
-        existing = context._jsc.sc().getCheckpointDir()
-        own = existing.get() if existing.isDefined() else "file://" + tempfile.mkdtemp(prefix="crawlscape-")
-        spark.conf.set("spark.checkpoint.dir", own)
+        if not context._jsc.sc().getCheckpointDir().isDefined():
+            context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="crawlscape-"))
+        own = context._jsc.sc().getCheckpointDir().get()
     return own.rstrip("/")
 
 
@@ -76,13 +76,12 @@ def number_rows(df: DataFrame, group: list[str], order: list[str], total: int, r
     within a group is (bucket, ``order``): fixed by the data, not by partitioning.
     """
     buckets = max(1, -(-total // rows_per_bucket))
-    dealt = df.withColumn("__b", F.pmod(F.xxhash64(*order, F.lit(7)), F.lit(buckets)))
-    counts = dealt.groupBy(*group, "__b").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], F.col("__b").alias("__ob"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    inside = Window.partitionBy(*group, "__b").orderBy(*order)
-    numbered = dealt.withColumn("__r", F.row_number().over(inside) - 1)
-    match = F.col("__b") == F.col("__ob")
-    for i, g in enumerate(group):
-        match = match & F.col(g).eqNullSafe(F.col(f"__g{i}"))
-    return numbered.join(offsets, match).withColumn(name, (F.col("__r") + F.col("__off")).cast("long")).drop("__b", "__r", "__off", "__ob", *[f"__g{i}" for i in range(len(group))])
+    keys = [f"__g{i}" for i in range(len(group))]
+    # without nulls, so that the window's partitioning also serves the join
+    dealt = df.withColumns({k: F.coalesce(F.concat(F.lit("="), F.col(g).cast("string")), F.lit("null")) for k, g in zip(keys, group, strict=True)})
+    dealt = dealt.withColumn("__b", F.pmod(F.xxhash64(*order, F.lit(7)), F.lit(buckets)))
+    counts = dealt.groupBy(*keys, "__b").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    numbered = dealt.withColumn("__r", F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(*order)) - 1)
+    return numbered.join(offsets, [*keys, "__b"]).withColumn(name, (F.col("__r") + F.col("__off")).cast("long")).drop("__b", "__r", "__off", *keys)
