@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import heapq
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.importance import front_bucket
 from ..functions.politeness import step_seconds
 from ..schema import EXCLUDED, GONE, IN_FLIGHT, SCHEDULED, TRAPPED, Scheduler
+from ..storage import cutter
 
 
 def due_urls(urls: DataFrame, before: Column, order: list[Column], host: Column | None = None, limit: int = 0) -> DataFrame:
@@ -58,36 +56,30 @@ def evict_addresses(addresses: DataFrame, now: Column, idle: int) -> DataFrame:
     return addresses.where(F.col("next_eligible") + idle > now)
 
 
-def shared_address_dispatch(urls: DataFrame, start: int = 0, ip_step: int = 1) -> DataFrame:
-    """(ip, host, url, at): hosts that share an address take turns, replayed for each address on its own.
-
-    ``urls`` has (ip, host, url, delay_s, bucket, seq). A host without an address is a group of its own. The
-    replay is sequential within an address, whose queue is bounded by its hosts' URL budgets."""
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        queues: dict = {}
-        for row in pdf.sort_values(["bucket", "seq"], ascending=[False, True], kind="stable").itertuples():
-            queues.setdefault(row.host, []).append(row)
-        shared = pdf["ip"].iloc[0] is not None
-        ready = [(start, -q[0].bucket, host, 0) for host, q in queues.items()]
-        heapq.heapify(ready)
-        free, out = start, []
-        while ready:
-            at, rank, host, k = heapq.heappop(ready)
-            if shared and at < free:
-                heapq.heappush(ready, (free, rank, host, k))
-                continue
-            row = queues[host][k]
-            out.append((row.ip, host, row.url, at))
-            step = max(1, int(row.delay_s))
-            free = at + max(step, ip_step)
-            if k + 1 < len(queues[host]):
-                heapq.heappush(ready, (at + step, -queues[host][k + 1].bucket, host, k + 1))
-        return pd.DataFrame(out, columns=["ip", "host", "url", "at"])
-
-    grouped = urls.withColumn("__g", F.coalesce("ip", F.concat(F.lit("host:"), F.col("host").cast("string"))))
-    types = dict(urls.dtypes)
-    return grouped.groupBy("__g").applyInPandas(replay, f"ip string, host {types['host']}, url {types['url']}, at long")
+def shared_address_dispatch(urls: DataFrame, start: int = 0, ip_step: int = 1, rows_per_range: int = 5000) -> DataFrame:
+    """(ip, host, url, at): hosts that share an address take turns.
+
+    ``urls`` has (ip, host, url, delay_s, bucket, seq). A host without an address is a group of its own. An
+    address is free again no sooner than the host it last served, so that all its hosts are ready at every turn
+    and the best head leaves: the order is (bucket, host, seq) and ``at`` the running sum of the steps before.
+    Ranges of that order are summed on their own and start at the sums of the ranges before, so that an
+    address may have any number of rows."""
+    step = F.greatest(F.lit(1), F.col("delay_s").cast("long"))
+    own = F.when(F.col("ip").isNull(), F.col("host"))
+    steps = urls.select("ip", "host", "url", "bucket", "seq", own.alias("__own"), F.when(F.col("ip").isNull(), step).otherwise(F.greatest(step, F.lit(ip_step))).alias("__step"))
+    order = [F.col("bucket").desc(), F.col("host"), F.col("seq"), F.col("url")]
+    ranges = max(1, -(-urls.count() // rows_per_range))
+    keep = cutter(urls.sparkSession, "shared-address")
+    # written, since ranges drawn a second time could have other bounds
+    dealt = keep(steps.repartitionByRange(ranges, "ip", "__own", *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    group = [F.coalesce("ip", F.lit("")).alias("__ip"), F.col("ip").isNull().alias("__alone"), "__own"]
+    sums = dealt.groupBy(*group, "__range").agg(F.sum("__step").alias("__sum"))
+    earlier = Window.partitionBy("__ip", "__alone", "__own").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("__ip", "__alone", F.col("__own").alias("__host"), F.col("__range").alias("__r"), F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("__range", "ip", "__own").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = dealt.withColumn("__inside", F.coalesce(F.sum("__step").over(inside), F.lit(0)))
+    same = (F.col("__range") == F.col("__r")) & (F.coalesce("ip", F.lit("")) == F.col("__ip")) & (F.col("ip").isNull() == F.col("__alone")) & F.col("__own").eqNullSafe(F.col("__host"))
+    return summed.join(offsets, same).select("ip", "host", "url", (F.lit(start) + F.col("__before") + F.col("__inside")).cast("long").alias("at"))
 
 
 def promote_aged(urls: DataFrame, now: Column, s: Scheduler = Scheduler()) -> DataFrame:

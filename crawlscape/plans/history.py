@@ -154,7 +154,7 @@ def gaps_between_visits(spark, sf):
 
 def shared_address_dispatch(spark, sf):
     """Hosts behind five addresses take turns."""
-    urls = table(spark, sf, "customer").where("c_custkey <= 400").select(F.concat(F.lit("10.0.0."), (F.col("c_nationkey") % 5).cast("string")).alias("ip"), F.col("c_nationkey").alias("host"), F.col("c_custkey").alias("url"), (F.col("c_nationkey") % 3 + 1).alias("delay_s"), (F.col("c_custkey") % 64).alias("bucket"), F.col("c_custkey").alias("seq"))
+    urls = table(spark, sf, "customer").select(F.concat(F.lit("10.0.0."), (F.col("c_nationkey") % 5).cast("string")).alias("ip"), F.col("c_nationkey").alias("host"), F.col("c_custkey").alias("url"), (F.col("c_nationkey") % 3 + 1).alias("delay_s"), (F.col("c_custkey") % 64).alias("bucket"), F.col("c_custkey").alias("seq"))
     return scheduling.shared_address_dispatch(urls)
 
 

@@ -1,3 +1,4 @@
+import heapq
 import random
 
 import numpy as np
@@ -5,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crawlscape.operators import admission, costs, dedup, importance, outcomes, placement, scheduling
+from crawlscape.plans import history
 from crawlscape.schema import Elasticity
 
 
@@ -54,6 +56,41 @@ def test_shared_address_never_overlaps(spark):
     assert len(set(at)) == 80 and at == sorted(at)
 
 
+def replayed(rows, start=0, ip_step=1):
+    """Turns of (ip, host, url, delay_s, bucket, seq) by a queue of ready hosts for each address."""
+    groups, out = {}, {}
+    for r in sorted(rows, key=lambda r: (-r[4], r[5])):
+        groups.setdefault(r[0] or ("alone", r[1]), {}).setdefault(r[1], []).append(r)
+    for key, queues in groups.items():
+        ready, free = [(start, -q[0][4], host, 0) for host, q in queues.items()], start
+        heapq.heapify(ready)
+        while ready:
+            at, rank, host, k = heapq.heappop(ready)
+            if isinstance(key, str) and at < free:
+                heapq.heappush(ready, (free, rank, host, k))
+                continue
+            out[queues[host][k][2]], step = at, max(1, queues[host][k][3])
+            free = at + max(step, ip_step)
+            if k + 1 < len(queues[host]):
+                heapq.heappush(ready, (at + step, -queues[host][k + 1][4], host, k + 1))
+    return out
+
+
+def test_shared_address_is_the_replay_over_several_ranges(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["10.0.0.1", "10.0.0.1", "10.0.0.2", None]), f"h{rng.randrange(7)}", i, rng.randrange(5), rng.randrange(4), rng.randrange(10_000) * 1000 + i) for i in range(300)]
+    df = spark.createDataFrame(rows, "ip string, host string, url int, delay_s int, bucket int, seq int")
+    for start, ip_step, size in ((0, 1, 20), (100, 3, 20), (0, 1, 5000)):
+        assert {r.url: r.at for r in scheduling.shared_address_dispatch(df, start, ip_step, size).collect()} == replayed(rows, start, ip_step)
+
+
+def test_shared_address_query_dispatches_every_customer(spark):
+    sf = "/root/testdata/sf0.01"
+    customers = spark.read.parquet(f"{sf}/customer.parquet").collect()
+    rows = [(f"10.0.0.{c.c_nationkey % 5}", c.c_nationkey, c.c_custkey, c.c_nationkey % 3 + 1, c.c_custkey % 64, c.c_custkey) for c in customers]
+    assert len(rows) > 400 and {r.url: r.at for r in history.shared_address_dispatch(spark, sf).collect()} == replayed(rows)
+
+
 def test_numbered_has_no_gaps(spark):
     rows = spark.range(1000).select((F.col("id") * 37 % 1000).alias("s"))
     assert sorted((r.number, r.s) for r in scheduling.numbered(rows, ["s"], ranges=8).collect()) == [(i, i) for i in range(1000)]
