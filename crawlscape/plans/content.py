@@ -31,6 +31,21 @@ def soft404_online(spark, sf):
     return admission.soft_404_online(pages, "source", "fp", "doc_id", "doc_id", 2).select("doc_id", "soft_404")
 
 
+def _bodies(spark, sf):
+    return table(spark, sf, "documents").select("source", F.md5(C.normalize_body(F.col("text")).cast("binary")).alias("fp"), "doc_id")
+
+
+def soft404_bodies(spark, sf):
+    """Templates by whole normalised bodies, from eight pages on."""
+    return admission.soft_404(_bodies(spark, sf), "source", "fp", "doc_id")
+
+
+def soft404_bodies_online(spark, sf):
+    """Whether a page's whole normalised body is a template by then; a page without a body is none."""
+    found = admission.soft_404_online(_bodies(spark, sf), "source", "fp", "doc_id", "doc_id")
+    return found.select("doc_id", (F.col("soft_404") & F.col("fp").isNotNull()).alias("soft_404"))
+
+
 def _md5_hash(token):
     return F.conv(F.substring(F.md5(token.cast("binary")), 1, 15), 16, 10).cast("long")
 
@@ -89,7 +104,7 @@ def ribbon_seen_filter(spark, sf):
     return hit.groupBy("present").agg(F.count("*").alias("keys"), F.count_if("maybe_seen").alias("hits")).join(F.broadcast(size))
 
 
-QUERIES = {f.__name__: f for f in (body_normalize, content_exact_dups, soft404_templates, soft404_online, simhash_md5, simhash_xx64, near_dup_pairs, change_kinds, url_keys, bloom_seen_filter, ribbon_seen_filter)}
+QUERIES = {f.__name__: f for f in (body_normalize, content_exact_dups, soft404_templates, soft404_online, soft404_bodies, soft404_bodies_online, simhash_md5, simhash_xx64, near_dup_pairs, change_kinds, url_keys, bloom_seen_filter, ribbon_seen_filter)}
 
 _SIM = f"""SELECT d.doc_id, coalesce(s, 0) AS simhash FROM documents d LEFT JOIN (
   SELECT doc_id, {' + '.join(f'CASE WHEN sum(CASE WHEN (h >> {b}) & 1 = 1 THEN n ELSE -n END) > 0 THEN {1 << b}::BIGINT ELSE 0 END' for b in range(60))} AS s
@@ -101,6 +116,8 @@ ORACLE = {
     "content_exact_dups": f"SELECT count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY md5({_NORM}) HAVING count(*) > 1",
     "soft404_templates": "SELECT source, md5(substr(text, 1, 12)) AS fp, count(DISTINCT doc_id) AS urls FROM documents GROUP BY ALL HAVING count(DISTINCT doc_id) >= 2",
     "soft404_online": "SELECT doc_id, row_number() OVER (PARTITION BY source, md5(substr(text, 1, 12)) ORDER BY doc_id) >= 2 AS soft_404 FROM documents",
+    "soft404_bodies": f"SELECT source, md5({_NORM}) AS fp, count(DISTINCT doc_id) AS urls FROM documents WHERE text IS NOT NULL GROUP BY ALL HAVING count(DISTINCT doc_id) >= 8",
+    "soft404_bodies_online": f"SELECT doc_id, text IS NOT NULL AND dense_rank() OVER (PARTITION BY source, md5({_NORM}) ORDER BY doc_id) >= 8 AS soft_404 FROM documents",
     "simhash_md5": _SIM,
     "near_dup_pairs": f"""WITH s AS ({_SIM}), p AS (SELECT simhash, min(doc_id) AS k FROM s WHERE simhash <> 0 GROUP BY 1)
       SELECT x.k AS a, y.k AS b, CAST(bit_count(xor(x.simhash, y.simhash)) AS BIGINT) AS distance FROM p x JOIN p y ON x.k < y.k AND bit_count(xor(x.simhash, y.simhash)) <= 3

@@ -1,3 +1,4 @@
+import hashlib
 import heapq
 import random
 
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crawlscape.operators import admission, costs, dedup, importance, outcomes, placement, scheduling
-from crawlscape.plans import history
+from crawlscape.plans import content, history
 from crawlscape.schema import Elasticity
 
 
@@ -91,6 +92,14 @@ def test_shared_address_query_dispatches_every_customer(spark):
     assert len(rows) > 400 and {r.url: r.at for r in history.shared_address_dispatch(spark, sf).collect()} == replayed(rows)
 
 
+def test_soft404_fingerprints_whole_bodies(spark, tmp_path):
+    rows = [(i, "a", f"the same opening, then page {i}") for i in range(10)] + [(i, "a", f"not{' ' * (i - 9)}found") for i in range(10, 18)] + [(i, "b", "not found") for i in range(20, 27)] + [(i, "b", None) for i in range(30, 40)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [(r.source, r.fp, r.urls) for r in content.soft404_bodies(spark, str(tmp_path)).collect()] == [("a", hashlib.md5(b"not found").hexdigest(), 8)]
+    online = content.soft404_bodies_online(spark, str(tmp_path)).collect()
+    assert len(online) == len(rows) and [r.doc_id for r in online if r.soft_404] == [17]
+
+
 def test_numbered_has_no_gaps(spark):
     rows = spark.range(1000).select((F.col("id") * 37 % 1000).alias("s"))
     assert sorted((r.number, r.s) for r in scheduling.numbered(rows, ["s"], ranges=8).collect()) == [(i, i) for i in range(1000)]
