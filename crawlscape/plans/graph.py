@@ -52,6 +52,30 @@ def pagerank_5(spark, sf):
     return importance.pagerank(edges.where("src < 30"), 5).select("node", F.round("rank", 9).alias("rank"))
 
 
+def _page_state(spark, sf):
+    """Links between pages, from orders to parts, and a state for every page; a part that is no order has no out-links."""
+    edges = links(spark, sf).select("src", "dst")
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    return edges, nodes.select("node", F.lit(1.0).alias("cash"), (F.col("node") % 3).cast("double").alias("history"))
+
+
+def opic_round_pages(spark, sf):
+    new, _ = importance.opic_round(*_page_state(spark, sf))
+    return new.select("node", F.round("cash", 6).alias("cash"), F.round("history", 6).alias("history"))
+
+
+def opic_score_pages(spark, sf):
+    new, teleport = importance.opic_round(*_page_state(spark, sf))
+    return importance.scores(new, teleport).select("node", F.round("score", 6).alias("score"))
+
+
+def pagerank_5_pages(spark, sf):
+    """Ranks of all pages over all links, in units of the mean rank."""
+    rank = importance.pagerank(_page_state(spark, sf)[0], 5)
+    n = rank.agg(F.count("*").alias("n"))
+    return rank.join(F.broadcast(n)).select("node", F.round(F.col("rank") * F.col("n"), 6).alias("rank"))
+
+
 def blend_priority(spark, sf):
     """Documents as pages: labels are imported ranks and trap flags, sources hosts with a score."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("url"), F.col("source").alias("host"), (F.col("n_chars") / 1000.0).alias("opic"), (F.col("doc_id") % 6).cast("int").alias("depth"))
@@ -66,7 +90,7 @@ def priority_levels(spark, sf):
     return table(spark, sf, "lineitem").groupBy(I.front_bucket(p).cast("long").alias("bucket"), I.quantize(p, 12).cast("long").alias("level")).agg(F.count("*").alias("urls"))
 
 
-QUERIES = {f.__name__: f for f in (star_indegree, star_budget, admit_budget, opic_credit, opic_round, opic_score, pagerank_5, blend_priority, priority_levels)}
+QUERIES = {f.__name__: f for f in (star_indegree, star_budget, admit_budget, opic_credit, opic_round, opic_score, pagerank_5, opic_round_pages, opic_score_pages, pagerank_5_pages, blend_priority, priority_levels)}
 
 _EDGES = f"SELECT src_host AS src, dst_host AS dst FROM ({LINKS})"
 _OPIC = f"""e AS ({_EDGES}), s AS (SELECT node, 1.0::DOUBLE AS cash, CAST(node % 3 AS DOUBLE) AS history FROM (SELECT src AS node FROM e UNION SELECT dst FROM e)),
@@ -76,11 +100,15 @@ _OPIC = f"""e AS ({_EDGES}), s AS (SELECT node, 1.0::DOUBLE AS cash, CAST(node %
   r AS (SELECT coalesce(node, dst) AS node, coalesce(f.cash, 0) AS cash, coalesce(history, 0) AS history FROM v FULL JOIN f ON node = dst)"""
 
 
-def _rounds(k: int) -> str:
-    steps = [f"e AS (SELECT DISTINCT src, dst FROM ({_EDGES}) WHERE src < 30)", "nn AS (SELECT src AS node FROM e UNION SELECT dst FROM e)", "c AS (SELECT count(*) AS n FROM nn)", "d AS (SELECT src, count(*) AS o FROM e GROUP BY 1)", "r0 AS (SELECT node, 1.0::DOUBLE / n AS rank FROM nn, c)"]
+_PAGES = f"SELECT src, dst FROM ({LINKS})"
+_OPIC_PAGES = _OPIC.replace(_EDGES, _PAGES)
+
+
+def _rounds(k: int, edges: str = f"SELECT DISTINCT src, dst FROM ({_EDGES}) WHERE src < 30", out: str = "round(rank, 9)") -> str:
+    steps = [f"e AS ({edges})", "nn AS (SELECT src AS node FROM e UNION SELECT dst FROM e)", "c AS (SELECT count(*) AS n FROM nn)", "d AS (SELECT src, count(*) AS o FROM e GROUP BY 1)", "r0 AS (SELECT node, 1.0::DOUBLE / n AS rank FROM nn, c)"]
     for i in range(k):
         steps.append(f"r{i + 1} AS (SELECT nn.node, 0.15::DOUBLE / c.n + 0.85::DOUBLE * (coalesce(g.got, 0) + l.lost / c.n) AS rank FROM nn CROSS JOIN c CROSS JOIN (SELECT coalesce(sum(rank), 0) AS lost FROM r{i} WHERE node NOT IN (SELECT src FROM d)) l LEFT JOIN (SELECT dst, sum(rank / o) AS got FROM e JOIN d USING (src) JOIN r{i} ON node = src GROUP BY 1) g ON g.dst = nn.node)")
-    return "WITH " + ",\n".join(steps) + f" SELECT node, round(rank, 9) AS rank FROM r{k}"
+    return "WITH " + ",\n".join(steps) + f" SELECT node, {out} AS rank FROM r{k}"
 
 
 _LEVEL = "l_discount + l_tax / 10"
@@ -95,6 +123,9 @@ ORACLE = {
     "opic_round": f"WITH {_OPIC} SELECT node, round(cash, 6) AS cash, round(history, 6) AS history FROM r",
     "opic_score": f"WITH {_OPIC} SELECT node, round(ln(1 + history + cash + teleport / (SELECT count(*) FROM r)), 6) AS score FROM r, t",
     "pagerank_5": _rounds(5),
+    "opic_round_pages": f"WITH {_OPIC_PAGES} SELECT node, round(cash, 6) AS cash, round(history, 6) AS history FROM r",
+    "opic_score_pages": f"WITH {_OPIC_PAGES} SELECT node, round(ln(1 + history + cash + teleport / (SELECT count(*) FROM r)), 6) AS score FROM r, t",
+    "pagerank_5_pages": _rounds(5, f"SELECT DISTINCT src, dst FROM ({LINKS})", "round(rank * (SELECT n FROM c), 6)"),
     "blend_priority": """WITH h AS (SELECT DISTINCT source AS host, CAST(length(source) AS DOUBLE) AS score FROM documents WHERE source <> 'src1'),
       d AS (SELECT doc_id AS url, n_chars / 1000.0::DOUBLE AS opic, doc_id % 6 AS depth, CAST(quality AS DOUBLE) AS pr, toxic, ln(1 + coalesce(score, 0)) AS hs FROM documents LEFT JOIN labels USING (doc_id) LEFT JOIN h ON source = host)
       SELECT url, round(CASE WHEN pr IS NOT NULL THEN 0.6::DOUBLE * ln(1 + pr) + 0.25::DOUBLE * opic + 0.15::DOUBLE * hs WHEN hs <> 0 THEN 0.7::DOUBLE * opic + 0.3::DOUBLE * hs ELSE opic END * CASE WHEN toxic = 1 THEN 0.1::DOUBLE ELSE 1 END * pow(0.95::DOUBLE, depth), 9) AS priority FROM d""",

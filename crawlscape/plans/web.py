@@ -9,7 +9,7 @@ from ..functions import urls as U
 from ..operators import admission, dedup, scheduling
 from ..schema import CanonPolicy
 from ..sources import pages as P
-from .adapters import table
+from .adapters import LINKS, links, table
 
 _HOST = "regexp_extract(url, '^(?:[^/:]*://)?([^/]*)', 1)"
 _PATH = "CASE WHEN regexp_extract(url, '^(?:[^/:]*://)?[^/]*(/.*)$', 1) = '' THEN '/' ELSE regexp_extract(url, '^(?:[^/:]*://)?[^/]*(/.*)$', 1) END"
@@ -101,6 +101,22 @@ def rediscovery_semi(spark, sf):
     return dedup.rediscoveries(batch.where("page_id >= 20"), batch.where("page_id < 20").select("host").distinct(), ["host"])
 
 
+def _link_split(spark, sf):
+    """Links of every fifth page as seen, those of the other pages as the batch."""
+    found = links(spark, sf).select("src", F.col("dst").alias("url"), "seq")
+    return found.where("src % 5 <> 0"), found.where("src % 5 = 0").select("url")
+
+
+def drum_classify_links(spark, sf):
+    batch, seen = _link_split(spark, sf)
+    return dedup.classify_batch(batch, seen, ["url"], "seq").select("seq", "url", "unique")
+
+
+def rediscovery_semi_links(spark, sf):
+    batch, seen = _link_split(spark, sf)
+    return dedup.rediscoveries(batch, seen.distinct(), ["url"]).select("seq", "url")
+
+
 def dispatch_order(spark, sf):
     """What leaves when: one URL of a host at a time, the most important first."""
     pages = table(spark, sf, "pages").select("page_id", "url", U.host_of(F.col("url")).alias("host"))
@@ -149,7 +165,7 @@ _KIND = f"""SELECT host, url, CASE
 _SUSPECT = f"""SELECT host, max(CASE WHEN kind = 'calendar' AND n >= 16 THEN 1 ELSE 0 END) AS calendar, max(CASE WHEN kind = 'faceted' AND n >= 16 THEN 1 ELSE 0 END) AS faceted, max(CASE WHEN kind = 'session' AND n >= 16 THEN 1 ELSE 0 END) AS session
   FROM (SELECT host, kind, count(*) AS n FROM ({_KIND}) WHERE kind <> 'none' GROUP BY ALL) GROUP BY host HAVING max(n) >= 16"""
 
-QUERIES = {f.__name__: f for f in (host_path_split, url_no_fragment, query_filter_sort, canonical_urls, trailing_fold, index_fold, registrable_domains, policy_canonical, link_extract, page_link_dedup, page_links_distinct, host_outdegree, dedup_urls, discovery_antijoin, drum_classify, rediscovery_semi, dispatch_order, trap_violation, trap_suspects, trap_passes)}
+QUERIES = {f.__name__: f for f in (host_path_split, url_no_fragment, query_filter_sort, canonical_urls, trailing_fold, index_fold, registrable_domains, policy_canonical, link_extract, page_link_dedup, page_links_distinct, host_outdegree, dedup_urls, discovery_antijoin, drum_classify, rediscovery_semi, drum_classify_links, rediscovery_semi_links, dispatch_order, trap_violation, trap_suspects, trap_passes)}
 
 _P = "regexp_replace(url, '[?#].*$', '')"
 _PP = f"CASE WHEN regexp_extract({_P}, '^(?:[^/:]*://)?[^/]*(/.*)$', 1) = '' THEN '/' ELSE regexp_extract({_P}, '^(?:[^/:]*://)?[^/]*(/.*)$', 1) END"
@@ -166,6 +182,8 @@ ORACLE = {
     "host_outdegree": f"SELECT {_HOST} AS host, count(*) AS links, count(DISTINCT href) AS targets FROM ({_HREFS}) GROUP BY 1",
     "dedup_urls": f"SELECT {_CANON} AS url, min(page_id) AS page_id, count(*) AS copies FROM pages GROUP BY 1",
     "discovery_antijoin": f"SELECT 'https://' || {_HOST} || href AS url, min(page_id * 1000 + position) AS seq FROM ({_HREFS}) WHERE href LIKE '/%' AND 'https://' || {_HOST} || href NOT IN (SELECT {_CANON} FROM pages) GROUP BY 1",
+    "drum_classify_links": f"WITH b AS (SELECT src, dst AS url, seq FROM ({LINKS})) SELECT seq, url, row_number() OVER (PARTITION BY url ORDER BY seq) = 1 AND url NOT IN (SELECT url FROM b WHERE src % 5 = 0) AS unique FROM b WHERE src % 5 <> 0",
+    "rediscovery_semi_links": f"WITH b AS (SELECT src, dst AS url, seq FROM ({LINKS})) SELECT seq, url FROM b WHERE src % 5 <> 0 AND url IN (SELECT url FROM b WHERE src % 5 = 0)",
     "drum_classify": f"WITH b AS (SELECT page_id AS seq, {_HOST} AS host FROM pages) SELECT seq, host, row_number() OVER (PARTITION BY host ORDER BY seq) = 1 AND host NOT IN (SELECT host FROM b WHERE seq < 20) AS unique FROM b",
     "rediscovery_semi": f"WITH b AS (SELECT page_id, {_HOST} AS host FROM pages) SELECT host, page_id FROM b WHERE page_id >= 20 AND host IN (SELECT host FROM b WHERE page_id < 20)",
     "dispatch_order": f"""WITH f AS (SELECT url, {_HOST} AS host, min(page_id) AS page_id FROM pages GROUP BY ALL),

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crawlscape.operators import admission, costs, dedup, importance, outcomes, placement, scheduling
-from crawlscape.plans import content, history
+from crawlscape.plans import content, graph, history, web
 from crawlscape.schema import Elasticity
 
 
@@ -100,6 +100,17 @@ def test_soft404_fingerprints_whole_bodies(spark, tmp_path):
     assert len(online) == len(rows) and [r.doc_id for r in online if r.soft_404] == [17]
 
 
+def test_page_graphs_grow_with_the_links(spark, sf):
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_partkey").collect()
+    pages = {r.l_orderkey for r in rows} | {r.l_partkey for r in rows}
+    assert len(pages) > 50
+    for query in (graph.opic_round_pages, graph.opic_score_pages, graph.pagerank_5_pages):
+        assert {r.node for r in query(spark, sf).collect()} == pages
+    assert web.drum_classify_links(spark, sf).count() == sum(r.l_orderkey % 5 != 0 for r in rows)
+    seen = {r.l_partkey for r in rows if r.l_orderkey % 5 == 0}
+    assert web.rediscovery_semi_links(spark, sf).count() == sum(r.l_orderkey % 5 != 0 and r.l_partkey in seen for r in rows)
+
+
 def test_numbered_has_no_gaps(spark):
     rows = spark.range(1000).select((F.col("id") * 37 % 1000).alias("s"))
     assert sorted((r.number, r.s) for r in scheduling.numbered(rows, ["s"], ranges=8).collect()) == [(i, i) for i in range(1000)]
