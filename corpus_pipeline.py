@@ -7,6 +7,7 @@ the documents table and writes each result as Parquet before the next one reads
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,9 +52,21 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return slots.repartitionByRange(files, "slot", "row_in_block").sortWithinPartitions("slot", "row_in_block").select("__row.*")
 
 
+def with_position(docs: DataFrame) -> DataFrame:
+    """Adds ``position``: rows in order of the written files' numbers and of the rows in them, whatever order
+    the files are read in. Null for rows that come from no Parquet file."""
+    name = F.col("_metadata.file_name")
+    number = lambda pattern: F.coalesce(F.regexp_extract(name, pattern, 1).try_cast("long"), F.lit(0))
+    try:
+        return docs.withColumn("position", F.shiftleft(number("^part-(\\d+)"), 44) + F.shiftleft(number("-c(\\d+)\\."), 32) + F.col("_metadata.row_index"))
+    except AnalysisException:
+        return docs.withColumn("position", F.lit(None).cast("long"))
+
+
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """BPE: token counts and digests of ids and of the decoded text."""
-    return bpe.bpe(docs, bpe.word_bpe_path(), keep=tuple(c for c in ("doc_id", "lang", "source", "n_chars") if c in docs.columns))
+    """BPE: token counts and digests of ids and of the decoded text, and the ``position`` of each row in the mix."""
+    kept = tuple(c for c in ("doc_id", "lang", "source", "n_chars") if c in docs.columns)
+    return bpe.bpe(with_position(docs), bpe.word_bpe_path(), keep=(*kept, "position"))
 
 
 STAGES = [

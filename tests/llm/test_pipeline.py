@@ -44,6 +44,18 @@ def test_stages_against_plain_python(spark, sf):
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
 
 
+def test_order_of_the_mix_reaches_the_result(spark, tmp_path, monkeypatch):
+    rows = [(i, f"text {i} " * (1 + i * 7919 % 50), "en", f"s{i % 7 % 3}", None) for i in range(12_000)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(cp, "STAGES", cp.STAGES[3:])
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    slots = {r.doc_id: (r.slot, r.row_in_block) for r in mixing.mix(docs.select("doc_id", "source"), mixing.tempered_shares(docs), total=len(rows)).collect()}
+    final = cp.run(spark, str(tmp_path)).collect()
+    assert len({r.position >> 44 for r in final}) == 3 and len({r.position for r in final}) == len(rows)
+    order = [r.doc_id for r in sorted(final, key=lambda r: r.position)]
+    assert order == sorted(order, key=slots.get)
+
+
 def test_edges(spark, edge, nothing, sf):
     docs = edge
     for name, stage in cp.STAGES[1:]:
