@@ -18,8 +18,9 @@ K, S, SKETCH, FEW = 5, 2, 128, 4
 BUCKET_ROWS, MOST_BUCKETS = 1000, 1024
 
 
-def with_anchors(df: DataFrame, text: str, out: str, positions: str | None = None) -> DataFrame:
-    """Adds the sketch of anchors, and on request every anchor as (word position, hash).
+def with_anchors(df: DataFrame, text: str, out: str, positions: str | None = None, whole: str | None = None) -> DataFrame:
+    """Adds the sketch of anchors, and on request every anchor as (word position, hash) and the ``whole`` set of
+    hashes, less 2^31 so that they fit into ints.
 
     A text of fewer than K words, or with fewer than four anchors, is described by its
     words too. No words: no anchors.
@@ -46,14 +47,17 @@ def with_anchors(df: DataFrame, text: str, out: str, positions: str | None = Non
         df = df.withColumn(positions, F.transform(a, lambda i: F.struct(i.alias("word"), mer(i).alias("anchor"))))
     words_too = F.transform(h, lambda x: F.shiftrightunsigned(F.xxhash64(x), 32))
     all_of = F.concat(F.transform(a, mer), F.when(F.size(a) < FEW, words_too).otherwise(none))
-    return df.withColumn(out, F.slice(F.array_sort(F.array_distinct(all_of)), 1, SKETCH)).drop(hashes, runs, found)
+    every = f"__{out}_e"
+    df = df.withColumn(every, F.array_distinct(all_of))
+    if whole:
+        df = df.withColumn(whole, F.transform(every, lambda x: (x - (1 << 31)).cast("int")))
+    return df.withColumn(out, F.slice(F.array_sort(every), 1, SKETCH)).drop(hashes, runs, found, every)
 
 
 def likeness(a: str, b: str) -> Column:
-    """Jaccard index of two sketches; two empty ones are alike."""
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
-    shared = F.size(F.array_intersect(F.array_intersect(F.col(a), F.col(b)), union))
-    return F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(shared / F.size(union))
+    """Jaccard index of two sets; two empty ones are alike."""
+    shared = F.size(F.array_intersect(a, b))
+    return F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(shared / (F.size(a) + F.size(b) - shared))
 
 
 def as_text(sketch: str) -> Column:
@@ -94,17 +98,17 @@ def op6_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     read = parquet(spark, sf_dir, "documents")
     docs = read.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = with_anchors(docs, "text", "anchors")
-    both = with_next(docs, "doc_id", ["text", "anchors"], read.select("doc_id"), "text")
+    docs = with_anchors(docs, "text", "anchors", whole="all")
+    both = with_next(docs, "doc_id", ["text", "all"], read.select("doc_id"), "text")
     both = both.withColumn("n_chars", F.length("text").cast("long")).withColumn("__half", F.expr("cast(n_chars div 2 as int)"))
     both = both.withColumn("__edited", F.concat(F.expr("substring(text, 1, cast(n_chars as int) - __half)"), F.expr("substring(next_text, 1, __half)"))).drop("text", "next_text")
-    both = with_anchors(both, "__edited", "edited_anchors")
+    both = with_anchors(both, "__edited", "edited_anchors", whole="edited_all")
     return both.select(
         "doc_id",
         "n_chars",
         F.sha2(F.col("__edited").cast("binary"), 256).alias("edited_sha256"),
         as_text("anchors").alias("fingerprint"),
         as_text("edited_anchors").alias("edited_fingerprint"),
-        likeness("anchors", "edited_anchors").cast("double").alias("near_edited"),
-        likeness("anchors", "next_anchors").cast("double").alias("near_next"),
+        likeness("all", "edited_all").cast("double").alias("near_edited"),
+        likeness("all", "next_all").cast("double").alias("near_next"),
     )

@@ -59,6 +59,22 @@ def test_next_text_and_edges(spark, edge, nothing, tmp_path):
     assert fp.op6_closed_syncmers(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_likeness_counts_every_anchor_of_long_texts(spark, tmp_path, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    shared = [f"s{rng.randrange(10**6)}" for _ in range(150)]
+    long = [" ".join([*(f"{p}{rng.randrange(10**6)}" for _ in range(3000)), *shared, *(f"{p}{rng.randrange(10**6)}" for _ in range(3000))]) for p in "ab"]
+    spark.createDataFrame([(2, long[0]), (1, long[1])], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in fp.op6_closed_syncmers(spark, str(tmp_path)).collect()}
+    monkeypatch.setattr(fp, "SKETCH", 10**9)
+    jaccard = lambda a, b: len(set(brute(a)) & set(brute(b))) / len(set(brute(a)) | set(brute(b)))
+    for i, own, after in ((2, *long), (1, *reversed(long))):
+        half = len(own) // 2
+        assert got[i].near_next == jaccard(own, after) > 0 and got[i].near_edited == jaccard(own, own[: len(own) - half] + after[:half])
+        assert len(got[i].fingerprint) == 8 * 128
+
+
 def test_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(fp, "BUCKET_ROWS", 10)
     df = spark.range(500).select((F.col("id") * 17 % 500).alias("doc_id")).withColumn("text", F.col("doc_id").cast("string"))
