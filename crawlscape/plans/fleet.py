@@ -152,11 +152,11 @@ def robots_allowed(spark, sf):
 
 
 def sitemap_parse(spark, sf):
-    """Site maps made of pages' URLs, one per host."""
+    """Site maps made of pages' URLs, as many per host as the protocol's limits ask for."""
     from ..functions.urls import host_of
 
-    pages = table(spark, sf, "pages").select(host_of(F.col("url")).alias("host"), F.concat(F.lit("<url><loc>"), F.regexp_replace("url", "&", "&amp;"), F.lit("</loc><lastmod>2024-0"), (F.col("page_id") % 9 + 1).cast("string"), F.lit("-02T03:04:05Z</lastmod></url>")).alias("x"))
-    bodies = pages.groupBy("host").agg(F.concat(F.lit("<urlset>"), F.array_join(F.sort_array(F.collect_list("x")), ""), F.lit("</urlset>")).alias("body"))
+    pages = table(spark, sf, "pages").select("page_id", host_of(F.col("url")).alias("host"), F.concat(F.lit("<url><loc>"), F.regexp_replace("url", "&", "&amp;"), F.lit("</loc><lastmod>2024-0"), (F.col("page_id") % 9 + 1).cast("string"), F.lit("-02T03:04:05Z</lastmod></url>")).alias("x"))
+    bodies = sitemaps.packed(pages, "host", "x", "page_id")
     return sitemaps.expand(bodies, "host", "body").select("host", "loc", F.col("last_mod").cast("long").alias("last_mod"))
 
 

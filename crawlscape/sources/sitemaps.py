@@ -87,6 +87,16 @@ def expand(bodies: DataFrame, key: str, body: str) -> DataFrame:
     return bodies.select(key, F.col(body).cast("binary")).mapInPandas(run, f"key {kind}, is_index boolean, loc string, last_mod int").withColumnRenamed("key", key)
 
 
+def packed(entries: DataFrame, key: str, entry: str, seq: str, rows: int = 5000, size: int = 8 * 1024 * 1024) -> DataFrame:
+    """(key, body): site maps of about ``rows`` entries or ``size`` bytes, well below the protocol's
+    limits, as many as a key needs. Entries are dealt to them by the hash of ``seq``."""
+    n, held = entries.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(entry)), F.lit(0))).head()
+    maps = max(1, -(-n // rows), -(-held // size))
+    dealt = entries.withColumn("__map", F.pmod(F.xxhash64(seq), F.lit(maps)))
+    body = F.concat(F.lit("<urlset>"), F.array_join(F.sort_array(F.collect_list(entry)), ""), F.lit("</urlset>"))
+    return dealt.groupBy(key, "__map").agg(body.alias("body")).drop("__map")
+
+
 def read_sitemaps(spark: SparkSession, path: str) -> DataFrame:
     return expand(spark.read.format("binaryFile").load(path).select("path", "content"), "path", "content")
 

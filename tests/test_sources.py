@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from crawlscape.plans import fleet
 from crawlscape.schema import Resolver
 from crawlscape.sources import captures, codecs, dns, layout, pages, robots, sitemaps
 from crawlscape.sources.store import Collection, Store
@@ -54,6 +55,15 @@ def test_sitemaps(spark, tmp_path):
     assert sitemaps.parse_sitemap(None) == (False, []) and sitemaps.last_modified_hours("x") is None
 
 
+def test_sitemaps_of_a_host_beyond_the_entry_limit(spark, tmp_path):
+    pages = spark.range(60_000).select(F.col("id").alias("page_id"), F.format_string("http://big.example/p%d", "id").alias("url"))
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    got = fleet.sitemap_parse(spark, str(tmp_path))
+    assert got.count() == 60_000 > sitemaps.MAX_ENTRIES and got.select("loc").distinct().count() == 60_000
+    entries = pages.select(F.lit("h").alias("host"), F.col("url").alias("x"), "page_id")
+    assert sitemaps.packed(entries, "host", "x", "page_id", size=100_000).agg(F.max(F.length("body"))).head()[0] < 150_000
+
+
 def test_links(spark):
     html = "<a href='/a?utm_source=1'>x</a><A HREF=\"b\">y</A><area href=/c><a href=\"/a\">again</a><a href='mailto:z'>"
     rows = spark.createDataFrame([(1, "http://e.com/d/", html), (2, "http://e.com/", None)], "page_id long, url string, html string")
