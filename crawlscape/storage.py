@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where it is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        context = spark.sparkContext
-        if not context._jsc.sc().getCheckpointDir().isDefined():
-            context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="crawlscape-"))
+    """``spark.checkpoint.dir`` of the session; where it is unset, a folder in the warehouse, which a cluster shares too."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and context._jsc.sc().getCheckpointDir().isDefined():
         found = context._jsc.sc().getCheckpointDir().get()
+    if not found:
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return found.rstrip("/")
 
 
