@@ -2,25 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from crawlscape.storage import shared_folder
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can see: ``spark.checkpoint.dir`` of the session.
-
-    Only where that setting is absent (tests, a laptop) a local folder is made up.
-    """
-    context = spark.sparkContext
-    own = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not own:
-        if not context._jsc.sc().getCheckpointDir().isDefined():
-            context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="crawlscape-"))
-        own = context._jsc.sc().getCheckpointDir().get()
-    return own.rstrip("/")
+HOT_SHARE, HOT_ROWS = 10_000, 200
 
 
 def parquet(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -39,7 +29,7 @@ class Scratch:
     """Tables written to the shared folder to cut lineage, removed on demand."""
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
         self.names: set[str] = set()
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
@@ -68,6 +58,27 @@ class Scratch:
         self.drop(*sorted(self.names.difference(names)))
 
 
+def hot_keys(rows: DataFrame, keys: Sequence[str], total: int) -> DataFrame:
+    """(keys, __parts): the keys that hold more than a HOT_SHARE-th of ``total`` rows, and in how many parts to
+    deal them. Whatever the table, there are fewer than HOT_SHARE such keys."""
+    most = max(HOT_ROWS, -(-total // HOT_SHARE))
+    return rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > most).select(*keys, F.ceil(F.col("__n") / most).cast("int").alias("__parts"))
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str], by: Sequence[str], total: int, how: str = "left", counted: DataFrame | None = None, hot: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined with ``table`` on ``keys``, with the rows of a frequent key dealt over parts by a hash of
+    their ``by`` columns; every part gets a copy of the key's rows of ``table``.
+
+    Frequent keys are counted in ``counted``, of ``total`` rows, by default in ``rows``, or given as ``hot``. The parts follow from
+    values alone, so that a task that runs again deals its rows as before. Null keys meet nothing.
+    """
+    keys = list(keys)
+    hot = F.broadcast(hot_keys(counted if counted is not None else rows, keys, total) if hot is None else hot)  # fewer than HOT_SHARE rows
+    dealt = rows.join(hot, keys, "left").withColumn("__salt", F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*by), F.col("__parts")).cast("int"))).drop("__parts")
+    copies = table.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return dealt.join(copies, [*keys, "__salt"], how).drop("__salt")
+
+
 def number_rows(df: DataFrame, group: list[str], order: list[str], total: int, rows_per_bucket: int = 500, name: str = "slot") -> DataFrame:
     """Numbers the rows of each group from 0 without gaps, however large a group is.
 
