@@ -1,13 +1,17 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
-Candidate vectors are grouped by length: geometric buckets of their norm, cut by
-hash into cells of bounded size. Queries travel in bounded blocks and meet every
-cell once. A query enters with a sound bound, its k-th best score among the
-longest vectors of all; within a cell, the bound over the product of the norms
-gives a local cosine threshold. If it exceeds 1 the query skips the cell; if it
-is high, candidates have to fall into the query's feasible range in its largest
-coordinates; otherwise they have to be long enough. Survivors are verified with
-exact integer products.
+Candidate vectors are grouped by length, in geometric buckets of their norm, and
+within a bucket by their largest coordinate, its sign and its share of the length.
+What is known of a group (its longest vector, the range of its largest coordinate)
+bounds its products with a query, before any vector moves: the bound on a query's
+k-th best score over the product of the norms is a local cosine threshold, and the
+group is dead to the query if it exceeds 1 or if no unit vector with a coordinate in
+that range can reach it. A query meets the most promising cell first, which tightens
+its bound, and then the cells of the groups that are still alive; a cell goes only to
+as many blocks of queries as it has live ones. Within a cell the threshold picks
+coordinate pruning (if high: candidates have to fall into the query's feasible range
+in its largest coordinates) or length pruning. Survivors are verified with exact
+integer products.
 """
 
 from __future__ import annotations
@@ -19,12 +23,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import parquet
+from .common import Scratch, parquet
 
 K, SCALE, QUERY_EVERY = 10, 1024, 100
 CELL_ROWS, QUERY_BLOCK, SEEDS = 4096, 1024, 1024
 STEEP, FOCUS = 0.8, 3
 EXACT = float(1 << 52)
+LEVELS, BROADCAST_CELLS, MERGE = 8, 1_000_000, 64
 
 
 def quantised(embedding: str, scale: int = SCALE) -> Column:
@@ -111,32 +116,101 @@ def search_cell(q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, p_ids: np.n
     return best
 
 
+def grouped(rows: DataFrame) -> DataFrame:
+    """Adds ``norm`` and the group of a vector: ``bucket`` of its norm, ``focus``, the place of its largest coordinate
+    from 1 with its sign (0 for a vector of zeros), ``peak``, that coordinate's share of the length, and its ``level``."""
+    sizes = F.transform("v", lambda x: F.abs(x.cast("double")))
+    rows = rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))
+    rows = rows.withColumn("__top", F.coalesce(F.array_max(sizes), F.lit(0.0))).withColumn("__at", F.array_position(sizes, F.col("__top")).cast("int"))
+    some = F.col("norm") > 0
+    rows = rows.withColumn("bucket", F.when(some, F.floor(F.log2("norm") * 8)).otherwise(F.lit(-1)).cast("int"))
+    rows = rows.withColumn("focus", F.when(some, F.when(F.get("v", F.col("__at") - 1) < 0, -F.col("__at")).otherwise(F.col("__at"))).otherwise(0))
+    rows = rows.withColumn("peak", F.when(some, F.col("__top") / F.col("norm")).otherwise(F.lit(0.0)))
+    return rows.withColumn("level", F.floor(F.col("peak") * LEVELS).cast("int")).drop("__top", "__at")
+
+
+class Groups:
+    """What bounds the products of groups with queries; their number grows with the vectors' width, not their count."""
+
+    def __init__(self, rows: list, cell_rows: int):
+        """rows: (bucket, focus, level, count, longest, lowest peak, highest peak), longest buckets first. Small groups
+        share a cell, large ones have several."""
+        self.rows, self.first, self.parts = rows, [], []
+        cells, filled = 0, 0
+        for r in rows:
+            parts = -(-r[3] // cell_rows)
+            if parts > 1 or filled + r[3] > cell_rows:
+                cells, filled = cells + (filled > 0), 0
+            self.first.append(cells)
+            self.parts.append(parts)
+            cells, filled = (cells + parts, 0) if parts > 1 else (cells, filled + r[3])
+        self.cells = cells + (filled > 0)
+        columns = [np.array(c, float) for c in zip(*(r[1:] for r in rows), strict=True)]
+        self.focus, _, _, self.longest, self.low, self.high = columns
+        self.at, self.sign = np.maximum(np.abs(self.focus).astype(int) - 1, 0), np.sign(self.focus)
+        self.starts, self.counts = np.array(self.first, np.int64), np.array(self.parts, np.int64)
+
+    def reach(self, q: np.ndarray) -> np.ndarray:
+        """The most that a group's product with a query can be, for rows of queries; never too little."""
+        length = np.linalg.norm(q.astype(np.float64), axis=1)
+        unit = q / np.maximum(length, 1e-300)[:, None]
+        wide = np.zeros((len(q), max(q.shape[1], int(self.at.max()) + 1)))
+        wide[:, : q.shape[1]] = unit
+        along = wide[:, self.at] * self.sign
+        nearest = np.clip(along, self.low - 1e-9, self.high + 1e-9)
+        cosine = along * nearest + np.sqrt(np.maximum(0, 1 - along**2)) * np.sqrt(np.maximum(0, 1 - nearest**2))
+        cosine = np.minimum(cosine, np.abs(unit).sum(1)[:, None] * self.high)
+        return length[:, None] * self.longest * (np.clip(cosine, 0, 1) + 1e-9)
+
+
+def _met(dealt: DataFrame, placed: DataFrame, cells: int, k: int, query_block: int) -> DataFrame:
+    """(query_id, vec_id, score, cell): the best of each cell for the queries dealt to it. Cells and blocks of
+    queries are bounded; a cell is copied to the blocks it has queries for, and to no other."""
+    blocks = dealt.groupBy("cell").agg(F.ceil(F.count("*") / query_block).cast("int").alias("blocks"))
+    blocks = F.broadcast(blocks) if cells <= BROADCAST_CELLS else blocks
+    left = dealt.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).drop("blocks")
+    right = placed.join(blocks, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cell", "block", "vec_id", "v")
+
+    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "cell": []}, dtype="int64")
+        wide = max(max(map(len, left["q"])), max(map(len, right["v"])))
+        own = left["query_id"].to_numpy(np.int64)
+        found = search_cell(own, _matrix(left["q"], wide), left["bound"].to_numpy(float), right["vec_id"].to_numpy(np.int64), _matrix(right["v"], wide), k)
+        sizes = [len(s) for s in found.scores]
+        return pd.DataFrame({"query_id": np.repeat(own, sizes), "vec_id": np.concatenate(found.ids).astype("int64"), "score": np.concatenate(found.scores).astype("int64"), "cell": int(left["cell"].iloc[0])})
+
+    return left.groupBy("cell", "block").cogroup(right.groupBy("cell", "block")).applyInPandas(cell, "query_id long, vec_id long, score long, cell long")
+
+
+def _best(found: DataFrame, k: int, *more: str) -> DataFrame:
+    order = Window.partitionBy("query_id", *more).orderBy(F.col("score").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, cell_rows: int = CELL_ROWS, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score) for frames of (vec_id, v array<long>).
 
-    Vectors that are null take no part; shorter vectors count as padded with zeros;
-    a query's own id is no candidate; scores beyond 64 bits saturate. All rows of one
-    id are one query's own. Cells and blocks are bounded, so that no group grows with
-    the data; the driver sees one count per norm bucket.
+    Vectors and ids that are null take no part; shorter vectors count as padded with
+    zeros; a query's own id is no candidate; scores beyond 64 bits saturate; ties go to
+    the smaller id. Rows that repeat a candidate's id are ranked each, and the rows of
+    one query id share one ranking. The driver sees one row per group (their number is
+    bounded by the vectors' width) and SEEDS vectors.
     """
     spark = candidates.sparkSession
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    rows = candidates.where("v is not null").withColumn("norm", norm)
-    rows = rows.withColumn("bucket", F.when(F.col("norm") > 0, F.floor(F.log2("norm") * 8)).otherwise(F.lit(-1)).cast("int"))
-    sizes = {r[0]: r[1] for r in rows.groupBy("bucket").count().collect()}
-    asked = queries.where("v is not null").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    count = asked.count()
-    if not sizes or not count:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    blocks = -(-count // query_block)
+    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    rows = grouped(candidates.where("v is not null and vec_id is not null"))
+    peak = [F.count("*"), F.max("norm"), F.min("peak"), F.max("peak")]
+    known = rows.groupBy("bucket", "focus", "level").agg(*peak).orderBy(F.col("bucket").desc(), "focus", "level").collect()
+    asked = queries.where("v is not null and vec_id is not null").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    if not known or asked.limit(1).count() == 0:
+        return empty
     spread = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    total = sum(sizes.values())
-    parts = {b: max(1, -(-n // cell_rows), round(spread * n / total)) for b, n in sizes.items()}
-    first, cells = {}, 0
-    for b in sorted(parts, reverse=True):
-        first[b], cells = cells, cells + parts[b]
-    lookup = lambda d: F.element_at(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]), F.col("bucket"))
-    placed = rows.withColumn("cell", (lookup(first) + F.pmod(F.xxhash64("vec_id"), lookup(parts))).cast("int"))
+    total = sum(r[3] for r in known)
+    groups = Groups([tuple(r) for r in known], min(cell_rows, max(256, -(-total // spread))))
+    # bounded like the list of groups
+    place = spark.createDataFrame([(*r[:3], f, n) for r, f, n in zip(groups.rows, groups.first, groups.parts, strict=True)], "bucket int, focus int, level int, __first int, __parts int")
+    placed = rows.join(F.broadcast(place), ["bucket", "focus", "level"]).select("vec_id", "v", (F.col("__first") + F.pmod(F.xxhash64("vec_id"), F.col("__parts"))).cast("long").alias("cell"))
 
     seeds = [(r[0], r[1]) for r in rows.orderBy(F.col("norm").desc(), "vec_id").limit(SEEDS).select("vec_id", "v").collect()]  # SEEDS rows at most
     width = max(len(v) for _, v in seeds)
@@ -145,34 +219,47 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, cell_rows: int
 
     def seeded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            if pdf.empty:
+                continue
             wide = max([width, *(len(v) for v in pdf["q"])])
-            known, own = _matrix(pd.Series(seed_rows), wide), pdf["query_id"].to_numpy(np.int64)
-            scores = _products(_matrix(pdf["q"], wide), known)
+            q, own = _matrix(pdf["q"], wide), pdf["query_id"].to_numpy(np.int64)
+            scores = _products(q, _matrix(pd.Series(seed_rows), wide))
             bounds = []
             for i in range(len(pdf)):
                 s = scores[i][seed_ids != own[i]]
                 bounds.append(float(np.partition(s, len(s) - k)[len(s) - k]) if len(s) >= k else float("-inf"))
-            yield pdf.assign(bound=bounds)
+            likely = groups.reach(q).argmax(1)
+            yield pdf.assign(bound=bounds, cell=groups.starts[likely] + own % groups.counts[likely])
 
-    bounded = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).mapInPandas(seeded, "query_id long, q array<long>, block int, bound double")
-    dealt = bounded.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))).select("cell", "block", "query_id", "q", "bound")
-    copies = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("cell", "block", "vec_id", "v")
-
-    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        wide = max(max(map(len, left["q"])), max(map(len, right["v"])))
-        own = left["query_id"].to_numpy(np.int64)
-        found = search_cell(own, _matrix(left["q"], wide), left["bound"].to_numpy(float), right["vec_id"].to_numpy(np.int64), _matrix(right["v"], wide), k)
-        return pd.DataFrame({"query_id": np.repeat(own, [len(s) for s in found.scores]), "vec_id": np.concatenate(found.ids).astype("int64"), "score": np.concatenate(found.scores).astype("int64")})
-
-    found = dealt.groupBy("cell", "block").cogroup(copies.groupBy("cell", "block")).applyInPandas(cell, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def alive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            live = groups.reach(_matrix(pdf["q"], max(1, *map(len, pdf["q"])))) >= pdf["bound"].to_numpy(float)[:, None]
+            spans = [sorted({(int(groups.starts[g]), int(groups.starts[g] + groups.counts[g] - 1)) for g in np.flatnonzero(row)}) for row in live]
+            yield pdf.assign(live=[[{"a": a, "b": b} for a, b in s] for s in spans])
+
+    scratch = Scratch(spark, "top-k")
+    plan = "query_id long, q array<long>, bound double, cell long"
+    first = scratch.keep(asked.mapInPandas(seeded, plan), "first")
+    near = scratch.keep(_met(first, placed, groups.cells, k, query_block), "near")
+    tight = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("__tight"))
+    sharper = first.join(tight, "query_id", "left").withColumn("bound", F.greatest("bound", F.coalesce("__tight", "bound"))).select("query_id", "q", "bound", "cell")
+    second = scratch.keep(sharper.mapInPandas(alive, f"{plan}, live array<struct<a: long, b: long>>"), "second")
+    spans = second.select("query_id", "q", "bound", F.col("cell").alias("__own"), F.explode("live").alias("s"))
+    dealt = spans.withColumn("cell", F.explode(F.sequence("s.a", "s.b"))).where("cell <> __own").select("query_id", "q", "bound", "cell")
+    found = near.unionByName(_met(dealt, placed, groups.cells, k, query_block))
+    # a query may have as many as k rows of every cell: ranked among the cells of a part before all of them
+    parts = _best(found.withColumn("__part", F.col("cell") % MERGE), k, "__part").drop("rank")
+    return _best(parts, k).select("query_id", "rank", "vec_id", "score")
 
 
 def op2_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten best integer products of every hundredth vector with all others."""
+    """The ten best integer products of every hundredth vector with all others.
+
+    Null vectors, vectors with null or non-finite components and null ids take no part; ties go to the smaller
+    id; repeated rows are candidates each; an empty table has no rows.
+    """
     rows = parquet(spark, sf_dir, "embeddings").select("vec_id", quantised("embedding").alias("v"))
     return top_k(rows.where(F.col("vec_id") % QUERY_EVERY == 0), rows)
 
