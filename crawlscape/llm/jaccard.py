@@ -41,7 +41,7 @@ from .graph import components
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 75, 100
 EXTRA = 0.05
-ROUNDS, TRIES, CELL = 5, 3, 512
+ROUNDS, TRIES, CELL, SHRINK = 5, 3, 512, 0.8
 LIMIT = 1 - NUMERATOR / DENOMINATOR + 1e-9
 MEETING = 256
 BROADCAST_BYTES, ROW_BYTES = 64 << 20, 64
@@ -217,30 +217,33 @@ def _linked(inter: Column, a: Column, b: Column) -> Column:
     return DENOMINATOR * inter >= NUMERATOR * (a + b - inter)
 
 
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """A broadcast only for a table of ids that was counted to stay within BROADCAST_BYTES; else a shuffle join."""
+    return F.broadcast(df) if rows * ROW_BYTES <= BROADCAST_BYTES else df
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Adds ``linked`` and ``dist``, the Jaccard distance, to a written table of pairs (a, b, ...). The pairs of a
-    set that has very many are dealt over tasks."""
+    """Adds ``linked`` and ``dist``, the Jaccard distance, to a written table of pairs (a, b, ...). Only sets that
+    have pairs move; the pairs of a set that has very many are dealt over tasks."""
+    total = pairs.count()
     left = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("__ta"))
     right = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("__tb"))
-    total = pairs.count()
-    one = lookup(pairs, left, ["a"], ["b"], total, "inner")
+    few = _few(pairs, total)
+    one = left.join(few, "a") if few is not pairs else lookup(pairs, left, ["a"], ["b"], total, "inner")
+    right = right.join(_few(pairs.select("b").distinct(), total), "b", "left_semi")
     both = lookup(one, right, ["b"], ["a"], total, "inner", counted=pairs).withColumn("__i", F.size(F.array_intersect("__ta", "__tb")))
     na, nb, i = F.size("__ta"), F.size("__tb"), F.col("__i")
     return both.withColumn("linked", _linked(i, na, nb)).withColumn("dist", 1 - i / (na + nb - i)).drop("__ta", "__tb", "__i")
 
 
-def _few(df: DataFrame, rows: int) -> DataFrame:
-    """A broadcast only for a table of ids that was counted to stay within BROADCAST_BYTES; else a shuffle join."""
-    return F.broadcast(df) if rows * ROW_BYTES <= BROADCAST_BYTES else df
-
-
 def _stars(index: DataFrame, kept: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Links (a, b, dist) of sets with leaders of their lists, found in rounds, and the lists that may still
     hold several components.
 
     At first a list of one block has one leader, and a set takes the leader that most of its lists name.
     Then lists that hold several components name leaders in their largest one, and only sets outside of
-    it try them, the few that most lists name. The labels between rounds only steer the next round."""
+    it try them, the few that most lists name, until the lists hardly shrink. The labels between rounds only
+    steer the next round."""
     total = index.count()
     leaders = index.groupBy("token", "block").agg(F.min("sid").alias("leader"), F.max("sid").alias("__m")).where("leader <> __m").drop("__m")
     chosen = lookup(index, leaders, ["token", "block"], ["sid"], total, "inner").where("sid <> leader").groupBy("sid", "leader").count()
@@ -258,7 +261,7 @@ def _stars(index: DataFrame, kept: DataFrame, scratch: Scratch) -> tuple[DataFra
         parts = placed.groupBy("token", "comp").agg(F.count("*").alias("size"), *picks)
         major = parts.groupBy("token").agg(F.max_by(F.struct(F.col("comp").alias("major"), *[f"l{j}" for j in range(TRIES)]), F.struct("size", "comp")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("token", "m.*")
         held = scratch.keep(lookup(placed, major, ["token"], ["sid"], total, "inner", counted=lists), f"lists-{k}")
-        lists, total = held.select(*index.columns), held.count()
+        lists, before, total = held.select(*index.columns), total, held.count()
         outside = held.where("comp <> major").select("sid", "n", "comp", "major", F.explode(F.array(*[f"l{j}" for j in range(TRIES)])).alias("l"))
         fitting = outside.where((F.col("n") * DENOMINATOR >= F.col("l.n") * NUMERATOR) & (F.col("l.n") * DENOMINATOR >= F.col("n") * NUMERATOR))
         named = fitting.groupBy("sid", "comp", F.col("l.sid").alias("b"), "major").count()
@@ -266,14 +269,14 @@ def _stars(index: DataFrame, kept: DataFrame, scratch: Scratch) -> tuple[DataFra
         pairs = scratch.keep(top.select(F.col("sid").alias("a"), "comp", F.explode("t").alias("t")).select("a", "comp", "t.b", "t.major"), f"tries-{k}")
         new = scratch.keep(_verified(pairs, kept).where("linked").select("a", "b", "dist", "comp", "major"), f"stars-{k}")
         found = found.union(new.select("a", "b", "dist"))
-        if new.limit(1).count() == 0:
+        if new.limit(1).count() == 0 or (k > 1 and total > SHRINK * before):
             break
         moved = new.groupBy("comp").agg(F.min("major").alias("to"))
         labels = scratch.keep(lookup(labels, moved, ["comp"], ["sid"], sets).select("sid", F.coalesce("to", "comp").alias("comp")), f"labels-{k}")
     return found, lists
 
 
-def _member_links(wide: DataFrame, members: DataFrame, kept: DataFrame) -> DataFrame:
+def _member_links(wide: DataFrame, members: DataFrame, kept: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of clusters, of those in ``wide`` (ka, kb, na, nb, apart), some members of which are linked.
 
     The members of ka, in blocks, meet the members of all its kb, in blocks: a cell compares what the
@@ -284,10 +287,12 @@ def _member_links(wide: DataFrame, members: DataFrame, kept: DataFrame) -> DataF
     tokens, total = kept.select("sid", "tokens"), members.count()
     hot = hot_keys(members, ["cluster"], total)
     one = lookup(members.select("cluster", "sid", "eps"), cut.withColumnRenamed("ka", "cluster"), ["cluster"], ["sid"], total, "inner", hot=hot).withColumnRenamed("cluster", "ka")
-    left = one.join(tokens, "sid").withColumn("block", block("sid", "blocks")).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    one = scratch.keep(one, "one")
+    left = tokens.join(_few(one, one.count()), "sid").withColumn("block", block("sid", "blocks")).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
     meets = lookup(wide.select("ka", "kb", "apart"), cut, ["ka"], ["kb"], wide.count(), "inner").withColumnRenamed("kb", "cluster")
     two = lookup(members.select("cluster", "sid", "eps"), meets, ["cluster"], ["sid"], total, "inner", hot=hot).withColumnRenamed("cluster", "kb")
-    other = two.join(tokens, "sid").withColumn("group", block("sid", "groups")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    two = scratch.keep(two, "two")
+    other = tokens.join(_few(two, two.count()), "sid").withColumn("group", block("sid", "groups")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     right = other.select(*[F.col(c).alias(f"r_{c}") for c in ("ka", "block", "group", "kb", "apart", "eps", "tokens")])
 
     def cell(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
@@ -395,7 +400,7 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", la
     larger = F.col("na") >= F.col("nb")
     wide = wide.select(*[F.when(larger, F.col(x)).otherwise(F.col(y)).alias(n) for n, x, y in (("ka", "a", "b"), ("kb", "b", "a"), ("na", "na", "nb"), ("nb", "nb", "na"))], F.col("dist").alias("apart"))
     wide = scratch.keep(_apart(wide, comps), "wide")
-    more = scratch.keep(_member_links(wide, members, kept), "more")
+    more = scratch.keep(_member_links(wide, members, kept, scratch), "more")
     comps = components(links.union(more), scratch, "third") if more.limit(1).count() else comps
 
     # back to the documents: classes of equal sets, then components of classes
