@@ -256,7 +256,7 @@ def _stars(index: DataFrame, kept: DataFrame, scratch: Scratch) -> tuple[DataFra
     labels = scratch.keep(nodes.join(followed, "sid", "left").select("sid", F.coalesce("to", "sid").alias("comp")), "labels-0")
     sets, lists = labels.count(), index
     for k in range(1, ROUNDS):
-        placed = lists.join(labels, "sid")
+        placed = lists.join(_few(labels, sets), "sid")
         picks = [F.min_by(F.struct("sid", "n"), F.xxhash64("sid", F.lit(TRIES * k + j))).alias(f"l{j}") for j in range(TRIES)]
         parts = placed.groupBy("token", "comp").agg(F.count("*").alias("size"), *picks)
         major = parts.groupBy("token").agg(F.max_by(F.struct(F.col("comp").alias("major"), *[f"l{j}" for j in range(TRIES)]), F.struct("size", "comp")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("token", "m.*")
