@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import parquet
+from .common import Scratch, parquet
 
 K, S, SKETCH, FEW = 5, 2, 128, 4
 RANGE_ROWS, CUTS, HOT_SHARE = 1000, 1024, 10_000
@@ -116,6 +116,7 @@ def with_next(df: DataFrame, order: str, carried: list[str], light: DataFrame, t
     """
     total = light.count()
     cuts, of = _cuts(light, order, total)
+    cuts = Scratch(df.sparkSession, "next").keep(cuts, "cuts")  # written, since cuts drawn again could differ
     often = max(RANGE_ROWS, -(-total // HOT_SHARE))
     hot = {r[0]: -(-r[1] // often) for r in light.groupBy(order).count().where(F.col("count") > often).collect()}
     alone = [h for h in hot if h is not None]
@@ -127,9 +128,9 @@ def with_next(df: DataFrame, order: str, carried: list[str], light: DataFrame, t
         placed = rows.withColumn("__outer", F.when(F.col(order).isNull(), F.lit(-1)).otherwise(of)).join(F.broadcast(cuts), "__outer", "left")
         inner = F.coalesce(F.size(F.filter("__cuts", lambda c: c <= F.col(order))), F.lit(0))
         apart = F.size(F.filter(F.lit([x for h in alone for x in (h, h + 1)]).cast("array<bigint>"), lambda c: c <= F.col(order))) if alone else F.lit(0)
-        part = F.floor((F.shiftrightunsigned(tie, 2).cast("double") / F.lit(float(1 << 62))) * parts).cast("int")
-        signed = F.when(F.col(tie) < 0, part - F.floor(parts / 2)).otherwise(part + F.ceil(parts / 2)) if hot else F.lit(0)
-        turn = F.struct(F.col("__outer").alias("o"), F.when(F.col(order).isNull(), F.lit(-1)).otherwise(inner + apart).alias("i"), (-signed).cast("int").alias("p"))
+        share = F.col(tie).cast("double") / F.lit(float(1 << 64)) + 0.5
+        part = F.least(F.floor(share * parts), parts - 1) if hot else F.lit(0)
+        turn = F.struct(F.col("__outer").alias("o"), F.when(F.col(order).isNull(), F.lit(-1)).otherwise(inner + apart).alias("i"), (-part).cast("int").alias("p"))
         return placed.withColumn("__range", turn).drop("__outer", "__cuts")
 
     head = F.max(F.struct(F.col(order).isNotNull(), F.col(order).alias("id"), (-F.col(tie).cast("decimal(20,0)")).alias("tie")))

@@ -1,6 +1,9 @@
 import hashlib
+import random
+import re
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -16,67 +19,107 @@ def h64(*values):
 
 
 def brute(text):
-    words = [w for w in text.lower().split(" ") if w]
+    """Anchors of a text with the word each one first stands at."""
+    words = [w for w in re.split("[ \t\n\x0b\f\r]+", text.lower()) if w]
     h = [h64(w) for w in words]
     m = [h64(h[i], h[i + 1]) for i in range(len(h) - 1)]
     starts = [i for i in range(len(h) - fp.K + 1) if min(m[i : i + 4]) in (m[i], m[i + 3])]
-    marks = [(h64(m[i], m[i + 2], m[i + 3]) % (1 << 64)) >> 32 for i in starts]
+    marks = [((h64(m[i], m[i + 2], m[i + 3]) % (1 << 64)) >> 32, i) for i in starts]
     if len(marks) < fp.FEW:
-        marks += [(h64(x) % (1 << 64)) >> 32 for x in h]
-    return sorted(set(marks))[: fp.SKETCH]
+        marks += [((h64(x) % (1 << 64)) >> 32, i) for i, x in enumerate(h)]
+    found = {}
+    for x, i in sorted(marks):
+        found.setdefault(x, i)
+    return found
 
 
-def test_anchors_equal_brute_force(spark):
-    import random
+def printed(text):
+    return "".join(f"{x:08x}" for x in sorted(brute(text))[: fp.SKETCH])
+
+
+def likeness(a, b):
+    a, b = brute(a), brute(b)
+    pairs = sorted((a[x], b[x]) for x in a.keys() & b.keys())
+    offset = [i - j for i, j in pairs]
+    kept = len(pairs) if len(a) == len(b) == 1 else sum(offset[k] in (offset[k - 1] if k else None, *offset[k + 1 : k + 2]) for k in range(len(pairs)))
+    return kept / (len(a) + len(b) - kept) if a or b else 1.0
+
+
+def edit(text, after):
+    half = len(text) // 2
+    return text[: len(text) - half] + after[:half]
+
+
+def check(spark, rows, got):
+    """rows: (doc_id, text) in any order; got: rows of the query."""
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), h64(r[1] or "")))
+    wanted = []
+    for k, (i, t) in enumerate(order):
+        t, after = t or "", order[(k + 1) % len(order)][1] or ""
+        edited = edit(t, after)
+        wanted.append((str(i), len(t), hashlib.sha256(edited.encode()).hexdigest(), printed(t), printed(edited), likeness(t, edited), likeness(t, after)))
+    assert sorted((str(r.doc_id), *tuple(r)[1:]) for r in got) == sorted(wanted)
+
 
+def test_anchors_equal_brute_force(spark):
     rng = random.Random(1)
     texts = ["", "a", "a b c d e", "x " * 50] + [" ".join(f"w{rng.randrange(90)}" for _ in range(n)) for n in (4, 5, 6, 30, 900)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, text string")
-    got = {r.k: r.f for r in fp.with_anchors(df, "text", "f", "places").collect()}
-    assert got == {i: brute(t) for i, t in enumerate(texts)}
+    got = {r.k: [(x >> fp.PLACE, x % (1 << fp.PLACE)) for x in r.f] for r in fp.with_anchors(df, "text", "f").collect()}
+    assert got == {i: sorted(brute(t).items()) for i, t in enumerate(texts)}
 
 
 def test_anchors_do_not_depend_on_their_place(spark):
     core = " ".join(f"c{i}" for i in range(60))
     df = spark.createDataFrame([("one two " + core,), ("x " * 30 + core + " y z",)], "text string")
-    a, b = [{p.anchor for p in r.places} for r in fp.with_anchors(df, "text", "f", "places").collect()]
-    assert len(a & b) >= 0.6 * len(a)
+    a, b = [{x >> fp.PLACE: x % (1 << fp.PLACE) for x in r.f} for r in fp.with_anchors(df, "text", "f").collect()]
+    shared = a.keys() & b.keys()
+    assert len(shared) >= 0.6 * len(a) and {b[x] - a[x] for x in shared} == {28}
+
+
+def test_order_and_spacing_count(spark):
+    """A passage moved as a whole is matched; single anchors strewn over a text are not."""
+    words = [f"w{i}" for i in range(200)]
+    strewn = [x for k in range(0, 200, 7) for x in (*words[k : k + 5], f"a{k}", f"b{k}", f"c{k * k}")]
+    rows = [(" ".join(words), " ".join(["x", "y", *words])), (" ".join(words), " ".join(strewn)), (" ".join(words), " ".join(words)), ("", ""), ("one", "one"), ("one", "two")]
+    df = fp.with_anchors(fp.with_anchors(spark.createDataFrame(rows, "a string, b string"), "a", "x"), "b", "y")
+    got = [r.l for r in fp.with_likeness(df, "x", "y", "l").collect()]
+    assert got == [likeness(a, b) for a, b in rows] and got[0] > 0.95 and got[1] < 0.1 and got[2:] == [1.0, 1.0, 1.0, 0.0]
 
 
 def test_next_text_and_edges(spark, edge, nothing, tmp_path):
-    rows = [(r.doc_id, r.text or "") for r in edge.where("doc_id is not null").dropDuplicates(["doc_id"]).collect()]
-    edge.dropDuplicates(["doc_id"]).write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: r for r in fp.op6_closed_syncmers(spark, str(tmp_path)).collect()}
-    order = [*sorted(rows, key=lambda x: -x[0]), (None, "no id at all")]
-    for k, (i, t) in enumerate(order):
-        after = order[(k + 1) % len(order)][1]
-        half = len(t) // 2
-        edited = t[: len(t) - half] + after[:half]
-        assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
-    assert got[4].fingerprint and got[4].fingerprint != got[5].edited_fingerprint
+    rows = [(r.doc_id, r.text) for r in edge.collect()]
+    edge.write.parquet(str(tmp_path / "documents.parquet"))
+    check(spark, rows, fp.op6_closed_syncmers(spark, str(tmp_path)).collect())
+    assert len(rows) > len(set(rows))  # repeated rows are in it
     nothing.write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert fp.op6_closed_syncmers(spark, str(tmp_path / "none")).count() == 0
 
 
-def test_likeness_counts_every_anchor_of_long_texts(spark, tmp_path, monkeypatch):
-    import random
+def test_all_documents_equal_brute_force(spark, sf):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    check(spark, rows, fp.op6_closed_syncmers(spark, sf).collect())
+
 
+def test_likeness_counts_every_anchor_of_long_texts(spark):
     rng = random.Random(3)
     shared = [f"s{rng.randrange(10**6)}" for _ in range(150)]
     long = [" ".join([*(f"{p}{rng.randrange(10**6)}" for _ in range(3000)), *shared, *(f"{p}{rng.randrange(10**6)}" for _ in range(3000))]) for p in "ab"]
-    spark.createDataFrame([(2, long[0]), (1, long[1])], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: r for r in fp.op6_closed_syncmers(spark, str(tmp_path)).collect()}
-    monkeypatch.setattr(fp, "SKETCH", 10**9)
-    jaccard = lambda a, b: len(set(brute(a)) & set(brute(b))) / len(set(brute(a)) | set(brute(b)))
-    for i, own, after in ((2, *long), (1, *reversed(long))):
-        half = len(own) // 2
-        assert got[i].near_next == jaccard(own, after) > 0 and got[i].near_edited == jaccard(own, own[: len(own) - half] + after[:half])
-        assert len(got[i].fingerprint) == 8 * 128
-
-
-def test_many_ranges(spark, monkeypatch):
-    monkeypatch.setattr(fp, "BUCKET_ROWS", 10)
-    df = spark.range(500).select((F.col("id") * 17 % 500).alias("doc_id")).withColumn("text", F.col("doc_id").cast("string"))
-    got = {r.doc_id: r.next_text for r in fp.with_next(df, "doc_id", ["text"], df.select("doc_id")).collect()}
-    assert got == {i: str((i - 1) % 500) for i in range(500)}
+    got = fp.fingerprints(spark.createDataFrame([(2, long[0]), (1, long[1])], "doc_id long, text string")).collect()
+    assert all(r.near_next > 0 and len(r.fingerprint) == 8 * fp.SKETCH for r in got)
+    check(spark, [(2, long[0]), (1, long[1])], got)
+
+
+@pytest.mark.parametrize("cuts", [1024, 7])
+def test_many_ranges_and_frequent_ids(spark, monkeypatch, cuts):
+    """Ranges of ten rows, nested in two levels, and ids and nulls that fill many ranges in parts."""
+    monkeypatch.setattr(fp, "RANGE_ROWS", 10)
+    monkeypatch.setattr(fp, "CUTS", cuts)
+    rows = [(i * 17 % 300, f"t{i}") for i in range(300)] + [(150, f"same {i}") for i in range(90)] + [(None, f"none {i}") for i in range(60)] + [(7, "all equal")] * 3
+    rng = random.Random(9)
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).withColumn("tie", F.xxhash64("text"))
+    got = fp.with_next(df, "doc_id", ["text"], df.select("doc_id", "tie"), "tie").collect()
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), h64(r[1])))
+    wanted = [(*r, order[(k + 1) % len(order)][1]) for k, r in enumerate(order)]
+    assert sorted((str(r.doc_id), r.text, r.next_text) for r in got) == sorted((str(a), b, c) for a, b, c in wanted)
