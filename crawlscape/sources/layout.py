@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import unsigned
 from ..schema import GONE, HOST_STATE, MANIFEST, URL_STATE
+from .files import open_ranged
 
 # Tiers of the wheel as (buckets, hours in each); one bucket more takes the rest.
 TIERS = ((168, 1), (90, 24), (24, 720))
@@ -70,27 +71,23 @@ def host_range(urls: DataFrame, low: int, high: int, key: str = "host_key") -> D
 
 
 def inspect(spark: SparkSession, path: str) -> DataFrame:
-    """(file, column, encodings, bytes, raw_bytes, rows) of every column chunk, from footers only. Footers are read
-    by the executors; each reads its files whole only if their file system has no range reads."""
-    import io
-
+    """(file, column, encodings, bytes, raw_bytes, rows) of every column chunk. Executors read footers only, by
+    ranges at the ends of files."""
     import pandas as pd
 
     def run(batches):
         import pyarrow.parquet as pq
 
         for pdf in batches:
-            rows = []
-            for name, content in pdf.itertuples(index=False):
-                meta = pq.ParquetFile(io.BytesIO(content)).metadata
-                for g in range(meta.num_row_groups):
-                    for c in range(meta.num_columns):
-                        chunk = meta.row_group(g).column(c)
-                        rows.append((name, chunk.path_in_schema, ",".join(sorted(chunk.encodings)), chunk.total_compressed_size, chunk.total_uncompressed_size, chunk.num_values))
-            yield pd.DataFrame(rows, columns=["file", "column", "encodings", "bytes", "raw_bytes", "rows"])
+            for name in pdf["path"]:
+                with open_ranged(name) as file:
+                    meta = pq.ParquetFile(file).metadata
+                chunks = [(name, meta.row_group(g).column(c)) for g in range(meta.num_row_groups) for c in range(meta.num_columns)]
+                rows = [(name, c.path_in_schema, ",".join(sorted(c.encodings)), c.total_compressed_size, c.total_uncompressed_size, c.num_values) for name, c in chunks]
+                yield pd.DataFrame(rows, columns=["file", "column", "encodings", "bytes", "raw_bytes", "rows"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInPandas(run, "file string, column string, encodings string, bytes long, raw_bytes long, rows long")
+    return files.select("path").mapInPandas(run, "file string, column string, encodings string, bytes long, raw_bytes long, rows long")
 
 
 def encoding_counts(chunks: DataFrame) -> DataFrame:

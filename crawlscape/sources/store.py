@@ -1,12 +1,17 @@
-"""Durable state as generations: a snapshot table and a log of changes, committed by one small pointer file.
-
-Readers see the newest committed generation; a generation that was written but not
-committed is ignored. The log is a set of Parquet batches numbered by the LSN they
-begin with; recovery applies what is newer than the snapshot, last writer wins.
+"""Durable state as generations: a snapshot table and a log of changes, committed by numbered pointer files.
+
+A commit writes ``CURRENT-<n>``, one above the highest, without overwriting, with a
+checksum of its contents; the highest whole one is in force. A crash while it is
+written leaves a pointer that doesn't check, and the one before stays in force.
+Older pointers, and the files that only they name, go later. A generation that was
+written but not committed is ignored. The log is a set of Parquet batches numbered
+by the LSN they begin with; recovery applies what is newer than the snapshot, last
+writer wins.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 
@@ -26,28 +31,55 @@ class Store:
         path = self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _pointer(self) -> dict:
-        path, fs = self._path("CURRENT")
+    def _numbers(self) -> list[int]:
+        """Numbers of all pointers, whole or not, highest first."""
+        path, fs = self._path("")
         if not fs.exists(path):
-            return {"generation": None, "lsn": -1, "log": []}
+            return []
+        names = [f.getPath().getName() for f in fs.listStatus(path)]
+        return sorted((int(n.removeprefix("CURRENT-")) for n in names if n.startswith("CURRENT-")), reverse=True)
+
+    def _read(self, number: int) -> dict | None:
+        path, fs = self._path(f"CURRENT-{number:020d}")
         stream = fs.open(path)
         try:
-            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            said = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
+        checksum, _, body = said.partition("\n")
+        return json.loads(body) if checksum == hashlib.sha256(body.encode()).hexdigest() else None
+
+    def _pointer(self) -> dict:
+        for number in self._numbers():
+            if (found := self._read(number)) is not None:
+                return found
+        return {"generation": None, "lsn": -1, "log": []}
 
     def _commit(self, pointer: dict) -> None:
-        """Written aside and renamed over the old pointer, so that a crash leaves one of the two."""
-        aside, fs = self._path(f"CURRENT.{uuid.uuid4().hex}")
-        out = fs.create(aside, True)
+        """One new file; two writers at once can't both create it, so that one of them fails."""
+        body = json.dumps(pointer)
+        path, fs = self._path(f"CURRENT-{max(self._numbers(), default=0) + 1:020d}")
+        out = fs.create(path, False)
         try:
-            out.write(bytearray(json.dumps(pointer).encode()))
+            out.write(bytearray(f"{hashlib.sha256(body.encode()).hexdigest()}\n{body}".encode()))
         finally:
             out.close()
-        target, _ = self._path("CURRENT")
-        if fs.exists(target):
-            fs.delete(target, False)
-        fs.rename(aside, target)
+
+    def tidy(self, keep: int = 2) -> None:
+        """Removes pointers older than the ``keep`` newest whole ones, and the files that none of those names."""
+        whole = [(n, p) for n in self._numbers() if (p := self._read(n)) is not None][:keep]
+        if not whole:
+            return
+        named = {x for _, p in whole for x in (*p["log"], p["generation"])}
+        for folder in ("log", "gen"):
+            path, fs = self._path(folder)
+            for name in [f"{folder}/{f.getPath().getName()}" for f in fs.listStatus(path)] if fs.exists(path) else []:
+                if name not in named:
+                    fs.delete(self._path(name)[0], True)
+        for n in self._numbers():
+            if n < whole[-1][0]:
+                path, fs = self._path(f"CURRENT-{n:020d}")
+                fs.delete(path, False)
 
     def append(self, changes: DataFrame) -> int:
         """Adds puts and deletes (``lsn``, ``op``, columns) to the log; returns the highest LSN."""
@@ -72,14 +104,12 @@ class Store:
         return self.rows().join(keys.select(self.key).distinct(), self.key, "left_semi")
 
     def checkpoint(self) -> str:
-        """Folds the log into a new generation; the old files go once the pointer has moved."""
+        """Folds the log into a new generation; what no kept pointer names goes once the new one stands."""
         old = self._pointer()
         name = f"gen/{uuid.uuid4().hex}"
         self.rows().write.parquet(f"{self.root}/{name}", compression="zstd")
         self._commit({"generation": name, "lsn": old["lsn"], "log": []})
-        for stale in [*old["log"], *([old["generation"]] if old["generation"] else [])]:
-            path, fs = self._path(stale)
-            fs.delete(path, True)
+        self.tidy()
         return name
 
 
