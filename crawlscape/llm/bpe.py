@@ -251,5 +251,6 @@ def word_bpe_path() -> str:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document encoded and decoded with the 49k word vocabulary."""
+    """Every document encoded and decoded with the 49k word vocabulary. A null text is an empty one and has no
+    tokens; repeated rows and null ids are encoded each; an empty table has no rows."""
     return bpe(parquet(spark, sf_dir, "documents"), word_bpe_path())

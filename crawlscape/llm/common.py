@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from typing import ClassVar
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crawlscape.storage import shared_folder
 
 HOT_SHARE, HOT_ROWS = 10_000, 200
+MOST_BUCKETS = 1 << 20
 
 
 def parquet(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,9 +30,12 @@ def bounded_batches(df: DataFrame, rows: int = 2000) -> None:
 class Scratch:
     """Tables written to the shared folder to cut lineage, removed on demand."""
 
+    made: ClassVar[list[Scratch]] = []
+
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
         self.names: set[str] = set()
+        Scratch.made.append(self)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path, conf = f"{self.root}/{name}", self.spark.conf
@@ -57,6 +62,12 @@ class Scratch:
         """Removes all tables but these."""
         self.drop(*sorted(self.names.difference(names)))
 
+    @classmethod
+    def drop_since(cls, count: int) -> None:
+        """Removes the tables of all but the first ``count`` that were made, once what read them is written."""
+        while len(cls.made) > count:
+            cls.made.pop().only()
+
 
 def hot_keys(rows: DataFrame, keys: Sequence[str], total: int) -> DataFrame:
     """(keys, __parts): the keys that hold more than a HOT_SHARE-th of ``total`` rows, and in how many parts to
@@ -79,20 +90,32 @@ def lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str], by: Sequence[
     return dealt.join(copies, [*keys, "__salt"], how).drop("__salt")
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row but maps: what tells rows of one key apart, the same whenever a task runs."""
+    return F.xxhash64(*[F.col(f"`{name}`") for name, kind in df.dtypes if "map<" not in kind], F.lit(11))
+
+
 def number_rows(df: DataFrame, group: list[str], order: list[str], total: int, rows_per_bucket: int = 500, name: str = "slot") -> DataFrame:
     """Numbers the rows of each group from 0 without gaps, however large a group is.
 
-    Rows of a group are dealt to hash buckets of about ``rows_per_bucket`` rows, each
-    bucket is numbered on its own, and the buckets' counts give the offsets. The order
-    within a group is (bucket, ``order``): fixed by the data, not by partitioning.
+    Rows of a group are dealt to buckets of about ``rows_per_bucket`` rows (more beyond
+    MOST_BUCKETS buckets) by a hash of ``order``, a bucket that holds very many rows (of
+    one key, or of null) to parts by a hash of the whole row. Each is numbered on its
+    own, and their counts give the offsets. The order within a group is (bucket, part,
+    ``order``, hash of the row): fixed by the data, not by partitioning, also for rows
+    whose ``order`` is equal or null; only rows equal in all columns may change places.
     """
-    buckets = max(1, -(-total // rows_per_bucket))
+    buckets = max(1, min(MOST_BUCKETS, -(-total // rows_per_bucket)))
+    most = 4 * max(rows_per_bucket, -(-total // buckets), -(-total // HOT_SHARE))
     keys = [f"__g{i}" for i in range(len(group))]
     # without nulls, so that the window's partitioning also serves the join
-    dealt = df.withColumns({k: F.coalesce(F.concat(F.lit("="), F.col(g).cast("string")), F.lit("null")) for k, g in zip(keys, group, strict=True)})
+    dealt = df.withColumn("__tie", row_hash(df)).withColumns({k: F.coalesce(F.concat(F.lit("="), F.col(g).cast("string")), F.lit("null")) for k, g in zip(keys, group, strict=True)})
     dealt = dealt.withColumn("__b", F.pmod(F.xxhash64(*order, F.lit(7)), F.lit(buckets)))
-    counts = dealt.groupBy(*keys, "__b").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    numbered = dealt.withColumn("__r", F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(*order)) - 1)
-    return numbered.join(offsets, [*keys, "__b"]).withColumn(name, (F.col("__r") + F.col("__off")).cast("long")).drop("__b", "__r", "__off", *keys)
+    hot = dealt.groupBy(*keys, "__b").agg(F.count("*").alias("__n")).where(F.col("__n") > most).select(*keys, "__b", F.ceil(F.col("__n") / most).alias("__parts"))
+    # each holds more than a HOT_SHARE-th of ``total``, so that their number is bounded
+    dealt = dealt.join(F.broadcast(hot), [*keys, "__b"], "left").withColumn("__s", F.coalesce(F.pmod("__tie", F.col("__parts")), F.lit(0))).drop("__parts")
+    counts = dealt.groupBy(*keys, "__b", "__s").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__b", "__s").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "__b", "__s", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    numbered = dealt.withColumn("__r", F.row_number().over(Window.partitionBy(*keys, "__b", "__s").orderBy(*order, "__tie")) - 1)
+    return numbered.join(offsets, [*keys, "__b", "__s"]).withColumn(name, (F.col("__r") + F.col("__off")).cast("long")).drop("__b", "__s", "__r", "__off", "__tie", *keys)

@@ -21,6 +21,7 @@ from .common import number_rows, parquet
 
 PERIOD = 4096
 BLOCK_ROWS = 16
+MOST_SOURCES = 65_536
 TEMPERATURE = 0.5
 ADDED = ("block", "release", "deadline", "slot", "row_in_block")
 
@@ -71,7 +72,7 @@ def mix(docs: DataFrame, shares: Mapping[str | None, int], block_rows: int = BLO
     Every row is kept. Slots of a source that has run out stay empty, so the others
     go on in their own proportions. A null source is a source of its own; sources
     without a share raise an error rather than lose their rows. Within a source,
-    rows are dealt to blocks by a hash of ``order``; ties follow the other columns.
+    rows are dealt to blocks by a hash; rows of equal ``order`` follow a hash of their other columns.
     """
     spark = docs.sparkSession
     period = sum(shares.values())
@@ -90,12 +91,16 @@ def mix(docs: DataFrame, shares: Mapping[str | None, int], block_rows: int = BLO
 
 
 def tempered_shares(docs: DataFrame, source: str = "source", temperature: float = TEMPERATURE) -> dict[str | None, int]:
-    """Target weights n ** temperature of the sources, as shares; one row per source reaches the driver."""
-    counts = {r[0]: float(r[1]) ** temperature for r in docs.groupBy(source).count().collect()}
+    """Target weights n ** temperature of the sources, as shares. One row per source reaches the driver; more
+    than MOST_SOURCES of them raise an error, as each needs a slot in the period."""
+    counts = {r[0]: float(r[1]) ** temperature for r in docs.groupBy(source).count().limit(MOST_SOURCES + 1).collect()}
+    if len(counts) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources to mix")
     return quantise(counts)
 
 
 def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its block, window and slot under square-root weights of the sources."""
+    """Every document with its block, window and slot under square-root weights of the sources. A null source is a
+    source; null ids and repeated rows are placed like others; an empty table has no rows."""
     docs = parquet(spark, sf_dir, "documents").select("doc_id", "source")
     return mix(docs, tempered_shares(docs)).select("doc_id", "source", "block", "release", "deadline", "slot", "row_in_block")

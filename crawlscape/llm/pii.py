@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parquet
+from .common import Scratch, parquet
 
 # Base kinds, in the order of the results, with the first test a text has to pass.
 BASE = {
@@ -37,16 +37,17 @@ WIDER = {
 }
 KINDS = [*BASE, *WIDER]
 # Gazetteers and cue words.
-TOP_DOMAINS = ["com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk"]
+TOP_DOMAINS = ["com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "io", "dev", "app", "ai", "eu", "de", "at", "ch", "fr", "be", "lu", "es", "pt", "mx", "ar", "cl", "co", "it", "nl", "uk", "ie", "us", "ca", "au", "nz", "in", "jp", "cn", "kr", "br", "pl", "cz", "se", "no", "dk", "fi", "ru"]
+# in English, German, French and Spanish
 CUES = {
-    "email": "mail|contact|write|reach",
-    "ip": "ip|addr|host|server|login",
-    "card": "card|visa|credit|pay|account",
-    "phone": "phone|tel|call|mobile|fax",
-    "handle": "mail|contact|write|reach",
-    "national": "phone|tel|call|mobile|fax",
-    "ssn": "ssn|social|security",
-    "secret": "token|secret|key|password|auth",
+    "email": "mail|contact|write|reach|kontakt|schreib|courriel|contacte|correo|escrib",
+    "ip": "ip|addr|host|server|login|adresse|rechner|serveur|servidor",
+    "card": "card|visa|credit|pay|account|karte|konto|carte|compte|tarjeta|cuenta",
+    "phone": "phone|tel|call|mobile|fax|anruf|handy|appel|portable|llam|movil|m\u00f3vil",
+    "handle": "mail|contact|write|reach|kontakt|schreib|courriel|contacte|correo|escrib",
+    "national": "phone|tel|call|mobile|fax|anruf|handy|appel|portable|llam|movil|m\u00f3vil",
+    "ssn": "ssn|social|security|sozial|securite|s\u00e9curit\u00e9|seguridad",
+    "secret": "token|secret|key|password|auth|passwort|schl\u00fcssel|mot de passe|clave|contrase",
 }
 VOTES = ["valid", "listed", "cued", "edged", "varied"]
 CONTEXT, THRESHOLD = 32, 0.5
@@ -218,14 +219,18 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
-def find_pii(df: DataFrame, text: str = "text", weights: list[float] | None = None) -> DataFrame:
+def find_pii(df: DataFrame, text: str = "text", weights: list[float] | None = None, keep_text: bool = True) -> DataFrame:
     """Adds ``base_spans`` and ``all_spans``, arrays of spans by kind and start, to every row.
 
     A null text has no spans. Base spans stay whatever the classifier says; a wider span
-    is added if the classifier trusts it and it overlaps no base span.
+    is added if the classifier trusts it and it overlaps no base span. Where the weights
+    have to be estimated first, the judged spans are written once, with the rows
+    (without their text on request), so that texts are searched a single time.
     """
     judged = candidates(df, text)
-    weights = train(vote_counts(judged)) if weights is None else weights
+    if weights is None:
+        judged = Scratch(df.sparkSession, "pii").keep(judged if keep_text else judged.drop(text), "judged")
+        weights = train(vote_counts(judged))
     base = F.concat(*[F.col(f"__{k}") for k in BASE])
     judged = judged.withColumn("base_spans", base)
     clear = lambda x: ~F.exists("base_spans", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
@@ -235,23 +240,25 @@ def find_pii(df: DataFrame, text: str = "text", weights: list[float] | None = No
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """Replaces every span by its kind in brackets; spans that overlap become one."""
-    found = find_pii(df.select(F.struct("*").alias("__row"), F.col(text).alias("__t")), "__t")
+    own = f"__row.`{text}`"
+    found = find_pii(df.select(F.struct("*").alias("__row")), own)
     order = F.array_sort(F.transform("all_spans", lambda x: F.struct(x["start"], x["end"], x["kind"])))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def add(acc: Column, x: Column) -> Column:
-        gap = F.substring(F.col("__t"), acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
+        gap = F.substring(F.col(own), acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
         mark = F.when(x["start"] >= acc["at"], F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise("")
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], gap, mark).alias("out"))
 
-    clean = F.aggregate(order, start, add, lambda acc: F.concat(acc["out"], F.substring(F.col("__t"), acc["at"] + 1, F.length("__t"))))
-    masked = F.when(F.size("all_spans") > 0, clean).otherwise(F.col("__t")).alias(text)
+    clean = F.aggregate(order, start, add, lambda acc: F.concat(acc["out"], F.substring(F.col(own), acc["at"] + 1, F.length(own))))
+    masked = F.when(F.size("all_spans") > 0, clean).otherwise(F.col(own)).alias(text)
     return found.select(*[masked if c == text else F.col(f"__row.`{c}`").alias(c) for c in df.columns])
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personal data in every document: base counts, their digest, and all spans."""
+    """Personal data in every document: base counts, their digest, and all spans. A null text is an empty one and
+    has none; repeated rows are searched each; an empty table has no rows."""
     docs = parquet(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = find_pii(docs)
+    found = find_pii(docs, keep_text=False)
     count = lambda k: F.size(F.filter("base_spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select("doc_id", *map(count, BASE), F.sha2(_joined(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"), _joined(F.col("all_spans")).alias("spans"))

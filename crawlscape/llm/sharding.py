@@ -46,7 +46,7 @@ def op9_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards under the law ``key``; slots number a shard's rows from 0.
 
     A null text has 16 bytes and CRC 0; an empty table gives no rows; repeated rows
-    are kept, each with a slot of its own.
+    are kept, each with a slot of its own, in an order that follows from their columns.
     """
     docs = parquet(spark, sf_dir, "documents")
     total = docs.count()

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from crawlscape.sources.files import open_ranged
+
 from .common import Scratch, bounded_batches, parquet
 
 BLOCK_TOKENS = 1 << 18
@@ -25,11 +27,23 @@ END = 50256
 
 
 def blocks_of_files(spark: SparkSession, path: str, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(file, block, payload) of raw binary token files under ``path``."""
+    """(file, block, payload) of raw binary token files under ``path``, of any size: every block is read by its
+    range of bytes, in the task that it is dealt to."""
     step = width * block_tokens
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content", F.col("length"))
-    cuts = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("length") / step) - 1, F.lit(0)).cast("int"))
-    return files.select("file", "content", F.explode(cuts).alias("block")).select("file", F.col("block").cast("long").alias("block"), F.substring(F.col("content"), F.col("block") * step + 1, F.lit(step)).alias("payload"))
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length")
+    count = F.greatest(F.ceil(F.col("length") / step), F.lit(1))
+    total = files.agg(F.sum(count)).head()[0] or 0
+    blocks = files.select("file", F.explode(F.sequence(F.lit(0).cast("long"), count.cast("long") - 1)).alias("block"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with open_ranged(name) as file:
+                    data = file.read_at(step, block * step)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([block], pa.int64()), pa.array([data], pa.binary())], names=["file", "block", "payload"])
+
+    tasks = max(1, min(100_000, -(-int(total) // 64)))
+    return blocks.repartition(tasks, "file", "block").mapInArrow(read, "file string, block long, payload binary")
 
 
 def scan(blocks: DataFrame, end: int = END, width: int = 2) -> DataFrame:
