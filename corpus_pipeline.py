@@ -28,8 +28,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     found = jaccard.near_components(docs.select("doc_id", "text"), label="stage-jaccard")
     first = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id").groupBy("doc_id").agg(*[F.min_by(c, F.struct(*[F.coalesce(F.col(x).cast("string"), F.lit("")) for x in docs.columns])).alias(c) for c in docs.columns if c != "doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    rest = [c for c in docs.columns if c != "doc_id"]
+    kept = docs.join(first, "doc_id").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("__row"))
+    return kept.select("doc_id", *[F.col(f"__row.`{c}`").alias(c) for c in rest]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -85,5 +86,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = parquet(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES[:-1]):
+        made = len(Scratch.made)
         docs = scratch.keep(stage(spark, docs, sf_dir), f"stage-{k}")
+        Scratch.drop_since(made)
+        scratch.only(f"stage-{k}")
     return STAGES[-1][1](spark, docs, sf_dir)
