@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .keys import xxh64
 
 NEAR_BITS, BLOCKS = 3, 6
+TOKEN = re.compile(rb"[a-z0-9]+")
 
 
 def normalize_body(body: Column) -> Column:
@@ -25,19 +31,35 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(lower, F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def simhash(df: DataFrame, key: str, text: str, bits: int = 64, token_hash=None, out: str = "simhash") -> DataFrame:
-    """(key, out): bit b is 1 if the tokens' hashes, weighted by their counts, have more ones than zeros
-    there; 0 without tokens. Tokens are counted first, so that a frequent token is hashed once for a row."""
-    token_hash = token_hash or xxh64
-    counted = df.select(key, F.explode(tokens(F.col(text))).alias("t")).groupBy(key, "t").count()
-    hashed = counted.select(key, "count", token_hash(F.col("t")).alias("h"))
-    votes = [F.sum(F.when(F.getbit("h", F.lit(b)) == 1, F.col("count")).otherwise(-F.col("count"))).alias(f"v{b}") for b in range(bits)]
-    folded = F.lit(0).cast("long")
-    for b in range(bits):
-        one = F.lit(-(1 << 63) if b == 63 else 1 << b)
-        folded = folded.bitwiseOR(F.when(F.col(f"v{b}") > 0, one).otherwise(F.lit(0).cast("long")))
-    made = hashed.groupBy(key).agg(*votes).select(key, folded.alias(out))
-    return df.select(key).distinct().join(made, key, "left").select(key, F.coalesce(out, F.lit(0).cast("long")).alias(out))
+def token_xx64(token: bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(token)
+
+
+def simhash(df: DataFrame, key: str, text: str, bits: int = 64, token_hash: Callable[[bytes], int] = token_xx64, out: str = "simhash") -> DataFrame:
+    """(key, out) for every row: bit b is 1 if more tokens have a one than a zero there in their hash; 0 without
+    tokens or text. A row is folded where it is read, in Arrow batches; hashes of the tokens that a task has met
+    are kept, up to a bound."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        for batch in batches:
+            made = np.zeros(batch.num_rows, np.uint64)
+            for i, value in enumerate(batch.column(1)):
+                found = TOKEN.findall((value.as_py() or "").encode("utf-8").lower())
+                for token in set(found).difference(known):
+                    known[token] = token_hash(token)
+                if found:
+                    hashes = np.fromiter(map(known.__getitem__, found), "<u8", len(found))
+                    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :bits].sum(0, dtype=np.int64)
+                    made[i] = np.packbits(np.pad(2 * ones > len(found), (0, 64 - bits)), bitorder="little").view("<u8")[0]
+                if len(known) > 200_000:
+                    known.clear()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], names=["key", "simhash"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, text).mapInArrow(run, f"key {kind}, simhash long").toDF(key, out)
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import logging
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType
@@ -13,16 +17,28 @@ SIGN = -(1 << 63)
 PATH_SEED = (0x9E3779B97F4A7C15).to_bytes(8, "little").hex()
 
 
+@lru_cache(maxsize=1)
+def _native_xxh64() -> bool:
+    """Whether the engine's classes for a hash with another seed can be reached; asked once."""
+    names = ("org.apache.spark.sql.classic.ExpressionUtils", "org.apache.spark.sql.catalyst.expressions.XxHash64")
+    try:
+        for name in names:
+            SparkSession.active()._jvm.java.lang.Class.forName(name)
+    except (Py4JError, AttributeError, TypeError) as missing:
+        logging.getLogger(__name__).warning("hashing through Arrow, as %s can't be reached: %s", names, missing)
+        return False
+    return True
+
+
 def xxh64(column: Column) -> Column:
     """XXH64 of the bytes with seed 0, as a signed 64-bit number. It uses the engine's own hash expression
     with another seed; where that internal class can't be reached, an Arrow UDF gives the same numbers."""
-    try:
-        jvm = SparkSession.active()._jvm
-        tools = jvm.org.apache.spark.sql.classic.ExpressionUtils
-        arguments = jvm.org.apache.spark.api.python.PythonUtils.toSeq([tools.expression(column._jc)])
-        return Column(tools.column(jvm.org.apache.spark.sql.catalyst.expressions.XxHash64(arguments, 0)))
-    except Exception:  # noqa: BLE001 - any failure of the internal call means it is not there
+    if not _native_xxh64():
         return _xxh64_arrow(column.cast("binary"))
+    jvm = SparkSession.active()._jvm
+    tools = jvm.org.apache.spark.sql.classic.ExpressionUtils
+    arguments = jvm.org.apache.spark.api.python.PythonUtils.toSeq([tools.expression(column._jc)])
+    return Column(tools.column(jvm.org.apache.spark.sql.catalyst.expressions.XxHash64(arguments, 0)))
 
 
 @F.pandas_udf(LongType())

@@ -68,7 +68,13 @@ def facet_count(pairs: Column) -> Column:
     return F.size(F.array_distinct(F.transform(F.filter(pairs, lambda x: F.lower(x["k"]).isin(FACET_KEYS)), lambda x: x["k"])))
 
 
-def trap_kind(url: Column, now_hours: Column, p: Traps = Traps()) -> Column:
-    """calendar, session, faceted or none: the first that applies."""
-    pairs = query_pairs(url)
-    return F.when(calendar_trap(url, pairs, now_hours, p), "calendar").when(session_trap(pairs, p), "session").when(facet_count(pairs) >= p.facet_limit, "faceted").otherwise("none")
+def may_be_trap(url: Column) -> Column:
+    """A cheap first test: URLs without a query and without a year in their path bear no signature."""
+    return (F.instr(url, "?") > 0) | url.rlike("/(?:199|20[0-9])[0-9]/")
+
+
+def trap_kind(url: Column, pairs: Column, now_hours: Column, p: Traps = Traps()) -> Column:
+    """calendar, session, faceted or none: the first that applies. ``pairs`` are the ``query_pairs`` of the URL, best
+    in a column of their own, so that they are taken apart once."""
+    kind = F.when(calendar_trap(url, pairs, now_hours, p), "calendar").when(session_trap(pairs, p), "session").when(facet_count(pairs) >= p.facet_limit, "faceted").otherwise("none")
+    return F.when(may_be_trap(url), kind).otherwise("none")

@@ -46,8 +46,10 @@ def soft404_bodies_online(spark, sf):
     return found.select("doc_id", (F.col("soft_404") & F.col("fp").isNotNull()).alias("soft_404"))
 
 
-def _md5_hash(token):
-    return F.conv(F.substring(F.md5(token.cast("binary")), 1, 15), 16, 10).cast("long")
+def _md5_hash(token: bytes) -> int:
+    from hashlib import md5
+
+    return int(md5(token).hexdigest()[:15], 16)
 
 
 def simhash_md5(spark, sf):

@@ -141,7 +141,8 @@ NOW_HOURS = 494_424  # 2026-05-28
 
 
 def trap_violation(spark, sf):
-    return _synthetic(spark, sf).groupBy("host", T.trap_kind(F.col("url"), F.lit(NOW_HOURS)).alias("kind")).agg(F.count("*").alias("urls"))
+    urls = _synthetic(spark, sf).withColumn("pairs", T.query_pairs(F.col("url")))
+    return urls.groupBy("host", T.trap_kind(F.col("url"), F.col("pairs"), F.lit(NOW_HOURS)).alias("kind")).agg(F.count("*").alias("urls"))
 
 
 def trap_suspects(spark, sf):

@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.outcomes import COUNTERS
 from ..schema import CRAWLED, GONE, SCHEDULED, TRAPPED, Importance, Scheduler
 
 ADMITTED = "host STRING, url STRING, seq BIGINT, url_count BIGINT, url_budget BIGINT, status INT"
-PAGE = "url STRING, status INT, retry_count INT, error_count INT, crawl_count BIGINT, next_due BIGINT"
+PAGE = ", ".join(["url STRING", *(f"{c} BIGINT" for c in COUNTERS)])
 DUE = "url STRING, due_at BIGINT"
 GUARDED = "key STRING, version BIGINT, value DOUBLE"
 
@@ -59,31 +60,53 @@ class Intake(StatefulProcessor):
 
 
 class Outcomes(StatefulProcessor):
-    """Outcomes of a page (status, at, seq): its state after each batch."""
+    """Outcomes of a page: its state after each batch, by the rules of ``operators.outcomes.fold_events``. An
+    outcome at or below the last number seen is a repeated delivery."""
 
     def __init__(self, s: Scheduler = Scheduler()):
         self.s = s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.page = handle.getValueState("page", "status INT, retries INT, errors INT, crawls BIGINT, due BIGINT, last BIGINT")
+        self.page = handle.getValueState("page", ", ".join(f"{c} BIGINT" for c in (*COUNTERS, "last")))
+
+    def _step(self, a: dict, e) -> None:
+        at, status = int(e.at), int(e.status)
+        moved = bool(e.redirect) or 300 <= status <= 399
+        a["http_status"] = status
+        if not e.not_modified and not moved and (e.retryable or 400 <= status <= 599):
+            a["retry_count"] = min(a["retry_count"] + 1, self.s.max_retries)
+            a["error_count"] = min(a["error_count"] + 1, 65535)
+            if status == 410 or a["retry_count"] >= self.s.max_retries:
+                a["status"] = GONE
+            else:
+                a["status"], a["next_due"] = SCHEDULED, at + min(2 ** (a["retry_count"] - 1), self.s.recrawl_gap)
+            return
+        fp, sim = int(e.fp), int(e.sim)
+        body = not e.not_modified and fp != 0
+        known = body and a["content_fp"] != 0
+        same = known and (a["content_fp"] == fp or ((a["simhash"] ^ sim) & ((1 << 64) - 1)).bit_count() <= 3)
+        if known and not same:
+            a["change_count"], a["nochange_streak"], a["last_changed"] = a["change_count"] + 1, 0, at
+        elif same or e.not_modified:
+            a["nochange_streak"] += 1
+        if body:
+            a["content_fp"], a["simhash"] = fp, sim
+        a["first_seen"] = a["first_seen"] or at
+        a.update(status=CRAWLED, retry_count=0, crawl_count=a["crawl_count"] + 1, last_crawled=at, next_due=at + self.s.recrawl_gap)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        status, retries, errors, crawls, due, last = self.page.get() if self.page.exists() else (SCHEDULED, 0, 0, 0, 0, -1)
+        start = {c: 0 for c in COUNTERS} | {"status": SCHEDULED, "last": -1}
+        a = dict(zip(start, self.page.get(), strict=True)) if self.page.exists() else start
         frames = [f for f in rows if len(f)]
+        top = a["last"]
         for r in pd.concat(frames).sort_values(["at", "seq"], kind="stable").itertuples() if frames else ():
-            if status == GONE or r.seq <= last:
-                continue
-            last = int(r.seq)
-            if 400 <= r.status <= 599:
-                errors, retries = min(errors + 1, 65535), min(retries + 1, self.s.max_retries)
-                if r.status == 410 or retries >= self.s.max_retries:
-                    status = GONE
-                else:
-                    status, due = SCHEDULED, int(r.at) + min(2 ** (retries - 1), self.s.recrawl_gap)
-            else:
-                status, retries, crawls, due = CRAWLED, 0, crawls + 1, int(r.at) + self.s.recrawl_gap
-        self.page.update((status, retries, errors, crawls, due, last))
-        yield pd.DataFrame([(key[0], status, retries, errors, crawls, due)], columns=["url", "status", "retry_count", "error_count", "crawl_count", "next_due"])
+            if r.seq > a["last"]:
+                top = max(top, int(r.seq))
+                if a["status"] != GONE:
+                    self._step(a, r)
+        a["last"] = top
+        self.page.update(tuple(a.values()))
+        yield pd.DataFrame([(key[0], *(a[c] for c in COUNTERS))], columns=["url", *COUNTERS])
 
     def close(self) -> None:
         pass
@@ -140,7 +163,11 @@ def intake(discoveries: DataFrame, depth_cap: int = 0, p: Importance = Importanc
 
 
 def outcome_updates(outcomes: DataFrame, s: Scheduler = Scheduler()) -> DataFrame:
-    return outcomes.groupBy("url").transformWithStateInPandas(Outcomes(s), PAGE, "Update", "None")
+    """``outcomes`` has (url, status, at, seq) and, where they are known, not_modified, redirect, retryable, fp and sim."""
+    known = outcomes.columns
+    flags = [(F.coalesce(c, F.lit(False)) if c in known else F.lit(False)).alias(c) for c in ("not_modified", "redirect", "retryable")]
+    numbers = [(F.coalesce(F.col(c).cast("long"), F.lit(0)) if c in known else F.lit(0).cast("long")).alias(c) for c in ("status", "at", "seq", "fp", "sim")]
+    return outcomes.select("url", *numbers, *flags).groupBy("url").transformWithStateInPandas(Outcomes(s), PAGE, "Update", "None")
 
 
 def due_timers(pages: DataFrame, event_time: str, delay: str = "0 seconds") -> DataFrame:

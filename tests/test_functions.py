@@ -81,7 +81,7 @@ def test_jump_hash_moves_few():
     ("http://e.com/p?phpsessid=0123456789abcdef0123456789abcdef", "session"), ("http://e.com/p?sid=42", "none"),
 ])
 def test_trap_kinds(spark, url, kind):
-    assert one(spark, traps.trap_kind(F.lit(url), F.lit(HOURS))) == kind
+    assert one(spark, traps.trap_kind(F.lit(url), traps.query_pairs(F.lit(url)), F.lit(HOURS))) == kind
 
 
 def test_change_rate_bands(spark):

@@ -1,13 +1,12 @@
 import gzip
 import json
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from crawlscape.plans import fleet
 from crawlscape.schema import Resolver
-from crawlscape.sources import captures, codecs, dns, layout, pages, robots, sitemaps
+from crawlscape.sources import captures, dns, layout, pages, robots, sitemaps
 from crawlscape.sources.store import Collection, Store
 
 
@@ -113,20 +112,34 @@ def test_store_recovers(spark, tmp_path):
     assert {r.k: r.partition_id for r in routed.collect()} == {5: 1, 15: None, 25: 2}
 
 
-@pytest.mark.parametrize("values", [[], [7], [5] * 300, list(range(1000)), [1, 2**63, 5, 2**64 - 1], [10**12 + i % 3 for i in range(500)]])
-def test_integer_codec(values):
-    v = np.array(values, np.uint64)
-    data = codecs.encode_ints(v)
-    assert (codecs.decode_ints(data) == v).all() and len(data) <= 8 * len(v) + 5
-
-
-def test_wire_batch():
-    rows = [{"host_key": i % 5, "path_key": -i, "depth": i % 3, "discovery_source": 1, "src_host_key": 2**63 + i, "anchor_hint": 0, "observed_at": 400_000 + i, "link_weight": 0.5, "canonical_url": f"https://www.example.com/päth/{i}"} for i in range(300)]
-    data = codecs.encode_batch(rows)
-    back = codecs.decode_batch(data)
-    assert {r["canonical_url"] for r in back} == {r["canonical_url"] for r in rows} and len(data) < 300 * 40
-    assert codecs.encode_batch([]) == b"" and codecs.decode_batch(b"") == []
-    with pytest.raises(ValueError):
-        codecs.decode_batch(data[:-3] + b"xyz")
-    for body in (b"", b"x", b"Disallow: /\n" * 50):
-        assert codecs.unpack_robots(codecs.pack_robots(body)) == body
+def test_store_survives_a_crash_in_a_commit(spark, tmp_path, monkeypatch):
+    """A crash before, during and after the pointer is written leaves the old or the new generation."""
+    root = tmp_path / "s"
+    store = Store(spark, f"file://{root}", "k", "k long, v string")
+    puts = lambda lsn, k: spark.createDataFrame([(lsn, "put", k, "x")], "lsn long, op string, k long, v string")
+    keys = lambda: sorted(r.k for r in Store(spark, f"file://{root}", "k", "k long, v string").rows().collect())
+    store.append(puts(1, 1))
+    commit = Store._commit
+
+    def never(self, pointer):
+        raise OSError("crash before the pointer")
+
+    monkeypatch.setattr(Store, "_commit", never)
+    for act in (lambda: store.append(puts(2, 2)), store.checkpoint):
+        with pytest.raises(OSError):
+            act()
+        assert keys() == [1]
+    monkeypatch.setattr(Store, "_commit", commit)
+    for broken in (b"", b"0123", b"00\n{}"):
+        newest = max(int(f.name.removeprefix("CURRENT-")) for f in root.glob("CURRENT-*"))
+        (root / f"CURRENT-{newest + 1:020d}").write_bytes(broken)
+        assert keys() == [1]
+    assert store.append(puts(3, 3)) == 3 and keys() == [1, 3]
+    monkeypatch.setattr(Store, "tidy", never)
+    with pytest.raises(TypeError):
+        store.checkpoint()
+    assert keys() == [1, 3]
+    monkeypatch.undo()
+    store.checkpoint()
+    store.checkpoint()
+    assert keys() == [1, 3] and len([f for f in root.glob("CURRENT-*")]) == 2 and len(list((root / "gen").iterdir())) == 2

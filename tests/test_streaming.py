@@ -34,6 +34,24 @@ def test_outcome_updates(spark, run):
     assert got == {"a": (6, 5, 0), "b": (4, 0, 1)}
 
 
+def test_outcome_stream_is_the_batch_fold(spark, run):
+    """304, redirects, retries, the end, equal, near and changed bodies, in several deliveries of one page."""
+    import random
+
+    from crawlscape.operators import outcomes
+
+    rng = random.Random(2)
+    rows = []
+    for seq in range(1500):
+        status = rng.choice([200, 200, 200, 200, 304, 301, 503, 404, 410 if seq % 40 == 0 else 200])
+        fp = rng.choice([0, 5, 5, 9, 11])
+        rows.append((f"u{rng.randrange(60)}", status, seq // 3, seq, status == 304, False, status == 0 or rng.random() < 0.05, fp, fp * 1_000_003 if fp != 9 else 5 * 1_000_003 + 1))
+    df = spark.createDataFrame(rows, "url string, status long, at long, seq long, not_modified boolean, redirect boolean, retryable boolean, fp long, sim long")
+    wanted = {r.url: tuple(r)[1:] for r in outcomes.fold(df, ["url"]).collect()}
+    got = {r.url: tuple(r)[1:] for r in run(df, processors.outcome_updates, "pages").collect()}
+    assert got == wanted and {6, 4} <= {x[0] for x in wanted.values()}
+
+
 def test_guard_keeps_what_is_newer(spark, run):
     rows = spark.createDataFrame([("h", 1, 1.0), ("h", 3, 3.0), ("h", 3, 9.0), ("g", 2, 2.0)], "key string, version long, value double")
     assert sorted((r.key, r.version) for r in run(rows, processors.newer_only, "kept").collect()) == [("g", 2), ("h", 1), ("h", 3)]
