@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import cutter
 from .keys import xxh64
 
 NEAR_BITS, BLOCKS = 3, 6
@@ -82,7 +83,8 @@ def near_pairs(df: DataFrame, key: str, sim: str, radius: int = NEAR_BITS, width
     from itertools import combinations
 
     edges = [round(i * width / blocks) for i in range(blocks + 1)]
-    rows = df.where(F.col(sim) != 0).select(F.col(key).alias("k"), F.col(sim).alias("s"))
+    # written, since it is read four times
+    rows = cutter(df.sparkSession, "near-pairs")(df.where(F.col(sim) != 0).select(F.col(key).alias("k"), F.col(sim).alias("s")), "points")
     points = rows.groupBy("s").agg(F.min("k").alias("k"))
     masks = []
     for chosen in combinations(range(blocks), blocks - radius):
