@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,6 +62,25 @@ def fold_outcomes(events: Column, delay: Column, p: Politeness = Politeness()) -
     return F.aggregate(events, start, step)
 
 
+def apply_rate(a: dict, e, p: Politeness = Politeness()) -> None:
+    """The step of ``fold_outcomes`` on plain numbers, for outcomes that pass one by one; an interval of 0 has not begun."""
+    low = max(p.floor, e.delay)
+    high = max(p.ceiling, low)
+    before = a["interval"] or min(max(p.default, low), high)
+    bad = e.status == 429 or 500 <= e.status <= 599
+    if bad:
+        after = max(math.floor(before * p.backoff), e.retry_after)
+    elif a["average"] > 0 and e.latency > math.floor(a["average"] * p.latency_rise):
+        after = math.floor(before * p.soft_widen)
+    else:
+        after = max(before - p.narrow, 0)
+    after = min(max(after, low), high)
+    a["average"] = min(e.latency if a["average"] == 0 else (a["average"] * 3 + e.latency) // 4, 65535)
+    a["streak"] = min(a["streak"] + 1, 255) if bad and after >= p.ceiling else 0
+    a["dead"] = a["dead"] or a["streak"] >= p.dead_after
+    a["interval"], a["crawls"], a["errors"] = after, a["crawls"] + (e.status > 0), a["errors"] + bad
+
+
 def status_name(status: Column) -> Column:
     """The state's name, or status(n) for a number without one."""
     names = F.create_map(*[F.lit(x) for kv in STATUS.items() for x in kv])

@@ -2,64 +2,106 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.content import hamming
-from ..functions.importance import retry_backoff
-from ..schema import CRAWLED, GONE, IN_FLIGHT, SCHEDULED, Scheduler
+from ..functions.politeness import apply_rate
+from ..schema import CRAWLED, GONE, IN_FLIGHT, SCHEDULED, Politeness, Scheduler
 
 COUNTERS = ["status", "retry_count", "error_count", "crawl_count", "change_count", "nochange_streak", "first_seen", "last_crawled", "last_changed", "next_due", "content_fp", "simhash", "http_status"]
 
 
-def fold_events(events: Column, s: Scheduler = Scheduler(), start: Column | None = None) -> Column:
-    """State of a page after its outcomes, in order: array<struct<status, at, not_modified, redirect, retryable, fp, sim>>.
+def apply_outcome(a: dict, e, s: Scheduler = Scheduler()) -> None:
+    """Changes the counters ``a`` of a page by one outcome (status, at, not_modified, redirect, retryable, fp, sim).
 
     First match: not modified or redirected pages are crawled; a retryable outcome or a status of
     400 to 599 fails; anything else is crawled. 410, or the last retry, ends in ``gone``; a gone
     page stays gone."""
-    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    first = start if start is not None else F.struct(*[(F.lit(SCHEDULED).cast("long") if c == "status" else zero).alias(c) for c in COUNTERS])
-
-    def step(a: Column, e: Column) -> Column:
-        moved = e["redirect"] | e["status"].between(300, 399)
-        failed = ~e["not_modified"] & ~moved & (e["retryable"] | e["status"].between(400, 599))
-        retries = F.least(a["retry_count"] + 1, F.lit(s.max_retries).cast("long"))
-        ended = (e["status"] == 410) | (retries >= s.max_retries)
-        body = ~e["not_modified"] & (e["fp"] != 0) & ~failed
-        known = body & (a["content_fp"] != 0)
-        same = known & ((a["content_fp"] == e["fp"]) | (hamming(a["simhash"], e["sim"]) <= 3))
-        real = known & ~same
-        quiet = same | e["not_modified"]
-        new = {
-            "status": F.when(failed, F.when(ended, GONE).otherwise(SCHEDULED)).otherwise(CRAWLED),
-            "retry_count": F.when(failed, retries).otherwise(zero),
-            "error_count": F.when(failed, F.least(a["error_count"] + 1, F.lit(65535).cast("long"))).otherwise(a["error_count"]),
-            "crawl_count": F.when(failed, a["crawl_count"]).otherwise(a["crawl_count"] + one),
-            "change_count": F.when(real, a["change_count"] + one).otherwise(a["change_count"]),
-            "nochange_streak": F.when(real, zero).when(quiet & ~failed, a["nochange_streak"] + one).otherwise(a["nochange_streak"]),
-            "first_seen": F.when(~failed & (a["first_seen"] == 0), e["at"]).otherwise(a["first_seen"]),
-            "last_crawled": F.when(failed, a["last_crawled"]).otherwise(e["at"]),
-            "last_changed": F.when(real, e["at"]).otherwise(a["last_changed"]),
-            "next_due": F.when(failed, F.when(ended, a["next_due"]).otherwise(e["at"] + retry_backoff(retries, s))).otherwise(e["at"] + s.recrawl_gap),
-            "content_fp": F.when(body, e["fp"]).otherwise(a["content_fp"]),
-            "simhash": F.when(body, e["sim"]).otherwise(a["simhash"]),
-            "http_status": e["status"],
-        }
-        gone = a["status"] == GONE
-        return F.struct(*[F.when(gone, a[c]).otherwise(new[c]).cast("long").alias(c) for c in COUNTERS])
-
-    return F.aggregate(events, first, step)
+    if a["status"] == GONE:
+        return
+    at, status = int(e.at), int(e.status)
+    moved = bool(e.redirect) or 300 <= status <= 399
+    a["http_status"] = status
+    if not e.not_modified and not moved and (e.retryable or 400 <= status <= 599):
+        a["retry_count"] = min(a["retry_count"] + 1, s.max_retries)
+        a["error_count"] = min(a["error_count"] + 1, 65535)
+        if status == 410 or a["retry_count"] >= s.max_retries:
+            a["status"] = GONE
+        else:
+            a["status"], a["next_due"] = SCHEDULED, at + min(2 ** (a["retry_count"] - 1), s.recrawl_gap)
+        return
+    fp, sim = int(e.fp), int(e.sim)
+    body = not e.not_modified and fp != 0
+    known = body and a["content_fp"] != 0
+    same = known and (a["content_fp"] == fp or ((a["simhash"] ^ sim) & ((1 << 64) - 1)).bit_count() <= 3)
+    if known and not same:
+        a["change_count"], a["nochange_streak"], a["last_changed"] = a["change_count"] + 1, 0, at
+    elif same or e.not_modified:
+        a["nochange_streak"] += 1
+    if body:
+        a["content_fp"], a["simhash"] = fp, sim
+    a["first_seen"] = a["first_seen"] or at
+    a.update(status=CRAWLED, retry_count=0, crawl_count=a["crawl_count"] + 1, last_crawled=at, next_due=at + s.recrawl_gap)
+
+
+def new_page() -> dict:
+    """Counters of a page without outcomes."""
+    return {c: 0 for c in COUNTERS} | {"status": SCHEDULED}
+
+
+def fold_in_order(rows: DataFrame, key: list[str], order: list[str], start: Callable[[], dict], step: Callable[[dict, tuple], None], out: str) -> DataFrame:
+    """One row per key: its state after ``step`` has seen its rows in ``order``, which is distinct in a key.
+
+    ``out`` is the schema of the state's columns. Rows are sorted in partitions by key and pass
+    through in batches, with one state at a time in memory, so that a key may have any number of
+    rows; rows of a null key are a key of their own."""
+    names = rows.columns
+    row = namedtuple("Row", names)
+    at = [names.index(k) for k in key]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*key).schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, state, schema = None, None, None
+        for batch in batches:
+            if schema is None:
+                types = [(k, batch.schema.field(k).type) for k in key]
+                states = {k: pa.float64() if isinstance(v, float) else pa.bool_() if isinstance(v, bool) else pa.int64() for k, v in start().items()}
+                schema = pa.schema([*types, *states.items()])
+            done = []
+            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = tuple(values[i] for i in at)
+                if state is None or found != own:
+                    if state is not None:
+                        done.append(dict(zip(key, own, strict=True)) | state)
+                    own, state = found, start()
+                step(state, row._make(values))
+            if done:
+                yield pa.RecordBatch.from_pylist(done, schema)
+        if state is not None:
+            yield pa.RecordBatch.from_pylist([dict(zip(key, own, strict=True)) | state], schema)
+
+    return rows.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(run, ", ".join([*fields, out]))
 
 
 def fold(outcomes: DataFrame, page: list[str], s: Scheduler = Scheduler()) -> DataFrame:
-    """One row per page with its counters; an outcome's order is (at, seq). A page's outcomes are one array:
-    a history of a page is bounded by its recrawl gap."""
+    """One row per page with its counters; an outcome's order is (at, seq)."""
     flag = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
     number = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias(c)
-    event = F.struct(number("at"), F.col("seq"), number("status"), flag("not_modified"), flag("redirect"), flag("retryable"), number("fp"), number("sim"))
-    folded = outcomes.groupBy(*page).agg(F.sort_array(F.collect_list(event)).alias("__e")).withColumn("__s", fold_events(F.col("__e"), s))
-    return folded.select(*page, *[F.col(f"__s.{c}").alias(c) for c in COUNTERS])
+    events = outcomes.select(*page, number("at"), "seq", number("status"), flag("not_modified"), flag("redirect"), flag("retryable"), number("fp"), number("sim"))
+    return fold_in_order(events, page, ["at", "seq"], new_page, lambda a, e: apply_outcome(a, e, s), ", ".join(f"{c} bigint" for c in COUNTERS))
+
+
+def fold_rates(outcomes: DataFrame, host: str, p: Politeness = Politeness()) -> DataFrame:
+    """(host, interval, average, crawls, errors, streak, dead): a host's rate control after its outcomes (at, seq,
+    status, retry_after, latency, delay), in milliseconds; the delay is the same for all outcomes of a host."""
+    number = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias(c)
+    events = outcomes.select(host, number("at"), "seq", number("status"), number("retry_after"), number("latency"), number("delay"))
+    start = lambda: {"interval": 0, "average": 0, "crawls": 0, "errors": 0, "streak": 0, "dead": False}
+    return fold_in_order(events, [host], ["at", "seq"], start, lambda a, e: apply_rate(a, e, p), "interval bigint, average bigint, crawls bigint, errors bigint, streak bigint, dead boolean")
 
 
 def change_history(captures: DataFrame, page: list[str], order: list[str], digest: str) -> DataFrame:

@@ -11,6 +11,7 @@ from ..operators import outcomes, placement, scheduling
 from ..sources import layout
 from .adapters import CAPTURES, OUTCOMES, captures, table
 from .adapters import outcomes as outcome_rows
+from .fleet import jump_owners
 
 
 def status_names(spark, sf):
@@ -90,6 +91,7 @@ ORACLE = {
     "pending_counts": f"SELECT count(*) AS urls, count(*) FILTER (WHERE seq % 9 IN (1, 5)) AS pending, count(DISTINCT url_id) AS hosts, min(url_id) AS lowest, max(url_id) AS highest, min(hour) FILTER (WHERE seq % 9 = 5) AS earliest FROM ({CAPTURES})",
     "redirect_targets": "SELECT user_id AS url_id, 'http://u' || user_id || '.example.com/to/' || CAST(floor(value) AS BIGINT) AS target, user_id % 4 AS depth, event_id FROM events WHERE event_type = 'purchase'",
     "address_eligibility": "SELECT s_suppkey AS host, greatest(s_suppkey * 7 % 50, coalesce(CASE WHEN s_nationkey > 2 THEN s_nationkey * 11 % 60 END, 0)) AS eligible FROM supplier",
+    "signal_split": f"WITH RECURSIVE {jump_owners('SELECT s_suppkey::BIGINT AS key FROM supplier', 8)} SELECT owner = 0 AS local, count(*) AS signals, count(DISTINCT owner) AS owners FROM o GROUP BY 1",
     "ready_shards": "SELECT c_custkey % 7 AS shard, count(*) AS hosts FROM customer GROUP BY 1",
     "aged_promotion": f"SELECT count(*) FILTER (WHERE (250000 - hour >= 168 AND seq % 9 = 1) OR importance = 1) AS promoted, count(*) AS urls FROM ({CAPTURES})",
     "unit_conversions": f"SELECT least(latency // 100, 65535) AS deciseconds, count(*) AS outcomes, max(greatest(latency // 1000, 1)) AS step FROM ({OUTCOMES}) GROUP BY 1",

@@ -185,13 +185,23 @@ def _man(where: str = "true", epoch: int = 1) -> str:
     return f"SELECT partition_id, min(host_key) AS lo, max(host_key) AS hi, count(*) AS url_count, count(DISTINCT host_key) AS host_count, min(nullif(next_due, 0)) AS due_min, {epoch}::BIGINT AS epoch FROM ({_PARTS}) WHERE {where} GROUP BY 1"
 
 
-def _jump(keys: str, n: int) -> str:
+def jump_owners(keys: str, n: int) -> str:
     return f"""j AS (SELECT key, key::HUGEINT AS k, -1::BIGINT AS b, 0::BIGINT AS j FROM ({keys})
       UNION ALL SELECT key, k2, j, CAST(trunc((j + 1) * (2147483648.0::DOUBLE / CAST((k2 // 8589934592) + 1 AS DOUBLE))) AS BIGINT) FROM (SELECT key, j, (k * 2862933555777941757 + 1) % 18446744073709551616 AS k2 FROM j WHERE j < {n})),
       o AS (SELECT key, b AS owner FROM j WHERE j >= {n})"""
 
 
 _M64 = "18446744073709551616"
+
+
+def _weights(table: str, key: str) -> str:
+    """Common tables up to f (p, m, x): the hash weights of each key and region."""
+    return f"""a AS (SELECT {key} AS p, r_regionkey AS m, xor((({key}::HUGEINT * 11400714819323198485) % {_M64}), r_regionkey::HUGEINT) AS x FROM {table}, region),
+      b AS (SELECT p, m, xor(x, x // 1073741824) AS x FROM a), c AS (SELECT p, m, ((x // 4294967296 * 13787848793156543929 % 4294967296) * 4294967296 + (x % 4294967296) * 13787848793156543929) % {_M64} AS x FROM b),
+      d AS (SELECT p, m, xor(x, x // 134217728) AS x FROM c), e AS (SELECT p, m, ((x // 4294967296 * 10723151780598845931 % 4294967296) * 4294967296 + (x % 4294967296) * 10723151780598845931) % {_M64} AS x FROM d),
+      f AS (SELECT p, m, xor(x, x // 2147483648) AS x FROM e)"""
+
+
 _SUP = "SELECT s_suppkey::BIGINT AS key FROM supplier"
 ORACLE = {
     "schedule_wheel": f"SELECT bucket, count(*) AS urls, CAST(min(CASE WHEN bucket < 168 THEN bucket WHEN bucket < 258 THEN 168 + (bucket - 168) * 24 WHEN bucket < 282 THEN 2328 + (bucket - 258) * 720 ELSE 19608 END) AS BIGINT) AS opens FROM ({_W}) GROUP BY 1",
@@ -208,15 +218,14 @@ ORACLE = {
     "extract_hosts": f"SELECT CASE WHEN host_key IN (SELECT n_nationkey * 20 FROM nation) THEN 'moved' ELSE 'kept' END AS part, count(*) AS urls, count(DISTINCT host_key) AS hosts FROM ({_U}) GROUP BY 1",
     "compact_gone": f"SELECT status, count(*) AS urls FROM ({_U}) WHERE status <> 6 GROUP BY 1",
     "in_flight_reset": f"SELECT CASE WHEN status = 3 THEN 1 ELSE status END AS status, count(*) AS urls, count(*) FILTER (WHERE status = 3) AS recovered FROM ({_U}) GROUP BY 1",
-    "owner_jump": f"WITH RECURSIVE {_jump(_SUP, 16)} SELECT key, CASE WHEN key = 3 THEN 7 ELSE owner END AS owner FROM o",
-    "moving_hosts": f"WITH RECURSIVE {_jump(_SUP, 8)} SELECT owner, count(*) AS hosts FROM o WHERE owner <> 0 GROUP BY 1",
-    "rebalance_cost": f"""WITH RECURSIVE {_jump(_SUP, 16)}, h AS (SELECT owner, key % 13 + 1 AS urls, key % 13 * 25 + 100 AS bytes FROM o)
+    "owner_jump": f"WITH RECURSIVE {jump_owners(_SUP, 16)} SELECT key, CASE WHEN key = 3 THEN 7 ELSE owner END AS owner FROM o",
+    "moving_hosts": f"WITH RECURSIVE {jump_owners(_SUP, 8)} SELECT owner, count(*) AS hosts FROM o WHERE owner <> 0 GROUP BY 1",
+    "rebalance_cost": f"""WITH RECURSIVE {jump_owners(_SUP, 16)}, h AS (SELECT owner, key % 13 + 1 AS urls, key % 13 * 25 + 100 AS bytes FROM o)
       SELECT count(*) AS source_hosts, CAST(sum(urls) AS BIGINT) AS source_urls, count(*) FILTER (WHERE owner <> 0) AS moved_hosts, CAST(sum(urls) FILTER (WHERE owner <> 0) AS BIGINT) AS moved_urls, CAST(sum(bytes) FILTER (WHERE owner <> 0) AS BIGINT) AS shipped_bytes, count(DISTINCT owner) FILTER (WHERE owner <> 0) AS destinations, round(CAST(sum(bytes) FILTER (WHERE owner <> 0) AS DOUBLE) / sum(bytes), 9) AS moved_fraction FROM h""",
-    "rendezvous_topk": f"""WITH a AS (SELECT n_nationkey AS p, r_regionkey AS m, xor(((n_nationkey::HUGEINT * 11400714819323198485) % {_M64}), r_regionkey::HUGEINT) AS x FROM nation, region),
-      b AS (SELECT p, m, xor(x, x // 1073741824) AS x FROM a), c AS (SELECT p, m, ((x // 4294967296 * 13787848793156543929 % 4294967296) * 4294967296 + (x % 4294967296) * 13787848793156543929) % {_M64} AS x FROM b),
-      d AS (SELECT p, m, xor(x, x // 134217728) AS x FROM c), e AS (SELECT p, m, ((x // 4294967296 * 10723151780598845931 % 4294967296) * 4294967296 + (x % 4294967296) * 10723151780598845931) % {_M64} AS x FROM d),
-      f AS (SELECT p, m, xor(x, x // 2147483648) AS x FROM e)
+    "rendezvous_topk": f"""WITH {_weights('nation', 'n_nationkey')}
       SELECT p AS partition_id, m AS machine_id, rank FROM (SELECT p, m, row_number() OVER (PARTITION BY p ORDER BY x DESC, m) AS rank FROM f) WHERE rank <= 2""",
+    "rendezvous_weighted": f"""WITH {_weights('customer', 'c_custkey')}
+      SELECT m AS machine_id, count(*) AS partitions FROM (SELECT m, row_number() OVER (PARTITION BY p ORDER BY CAST(x AS DOUBLE) * (m + 1) DESC, m) AS rank FROM f) WHERE rank = 1 GROUP BY 1""",
     "replica_lww": """WITH a AS (SELECT c_custkey AS key, -1 AS lsn, 'put' AS op, 0.0::DOUBLE AS value FROM customer UNION ALL SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'del' ELSE 'put' END, o_totalprice FROM orders WHERE o_orderkey > 1000)
       SELECT key, value FROM (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY key ORDER BY lsn DESC) = 1) WHERE op = 'put'""",
     "epoch_guard": "SELECT host, epoch, score FROM (SELECT o_custkey AS host, o_orderkey // 100 AS epoch, max(o_orderkey) AS score FROM orders WHERE o_orderkey // 100 > 20 GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY host ORDER BY epoch DESC) = 1",

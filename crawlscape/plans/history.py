@@ -78,10 +78,8 @@ def retry_backoff(spark, sf):
 
 def aimd_intervals(spark, sf):
     """Interval, latency average, totals and the dead flag of every host after its outcomes in order."""
-    event = F.struct("at", "seq", "status", F.lit(0).cast("long").alias("retry_after"), "latency")
-    hosts = outcome_rows(spark, sf).groupBy("host").agg(F.sort_array(F.collect_list(event)).alias("e"))
-    folded = hosts.withColumn("s", P.fold_outcomes(F.col("e"), (F.col("host") % 5 * 200).cast("long")))
-    return folded.select("host", "s.interval", "s.average", "s.crawls", "s.errors", "s.dead")
+    rows = outcome_rows(spark, sf).withColumn("retry_after", F.lit(0)).withColumn("delay", F.col("host") % 5 * 200)
+    return outcomes.fold_rates(rows, "host").select("host", "interval", "average", "crawls", "errors", "dead")
 
 
 def outcome_fold(spark, sf):
@@ -226,5 +224,6 @@ ORACLE = {
     "stream_split": "SELECT o_orderkey AS seq, 'discovery' AS stream, round((row_number() OVER (ORDER BY o_orderkey) - 1) / 0.8::DOUBLE, 6) AS turn FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderkey, 'refresh', round((row_number() OVER (ORDER BY o_orderkey) - 1) / 0.2::DOUBLE, 6) FROM orders WHERE o_orderstatus = 'F'",
     "hourly_outcomes": f"SELECT hour AS at, count(*) AS outcomes, count(*) FILTER (WHERE status = 503) AS errors FROM ({OUTCOMES}) GROUP BY 1",
     "gaps_between_visits": f"SELECT host, max(gap) AS longest, count(gap) AS gaps FROM (SELECT host, hour - lag(hour) OVER (PARTITION BY host ORDER BY hour, seq) AS gap FROM ({OUTCOMES})) GROUP BY 1",
+    "shared_address_dispatch": """SELECT '10.0.0.' || (c_nationkey % 5) AS ip, c_nationkey AS host, c_custkey AS url, CAST(coalesce(sum(c_nationkey % 3 + 1) OVER (PARTITION BY c_nationkey % 5 ORDER BY c_custkey % 64 DESC, c_nationkey, c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at FROM customer""",
     "capture_hours": "SELECT CAST(floor(epoch(o_orderdate) / 3600) AS BIGINT) AS hour, count(*) AS captures FROM orders GROUP BY 1",
 }

@@ -19,6 +19,9 @@ _QUERY = f"CASE WHEN contains({_REST}, '?') THEN regexp_replace({_REST}, '^[^?]*
 _KEPT = f"array_to_string(list_sort(list_filter(string_split({_QUERY}, '&'), lambda p: p <> '' AND NOT list_contains([{_DENY}], string_split(p, '=')[1]))), '&')"
 _CPATH = f"CASE WHEN regexp_extract({_REST}, '^[^/?]*([^?]*)', 1) = '' THEN '/' ELSE regexp_extract({_REST}, '^[^/?]*([^?]*)', 1) END"
 _CANON = f"lower(string_split(url, ':')[1]) || '://' || lower(regexp_extract({_REST}, '^[^/?]*', 0)) || ({_CPATH}) || CASE WHEN {_KEPT} <> '' THEN '?' || {_KEPT} ELSE '' END"
+_COLLAPSED = f"regexp_replace({_CPATH}, '/+', '/', 'g')"
+_INDEXED = f"regexp_replace({_COLLAPSED}, '/({'|'.join(f.replace('.', chr(92) + '.') for f in U.INDEX_FILES)})$', '/')"
+_FOLDED = f"CASE WHEN length({_INDEXED}) > 1 THEN coalesce(nullif(regexp_replace({_INDEXED}, '/$', ''), ''), '/') ELSE {_INDEXED} END"
 _HREFS = "SELECT page_id, url, generate_subscripts(h, 1) - 1 AS position, unnest(h) AS href FROM (SELECT page_id, url, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS h FROM pages)"
 
 
@@ -178,6 +181,9 @@ ORACLE = {
     "trailing_fold": f"SELECT page_id, CASE WHEN length(p) > 1 THEN coalesce(nullif(regexp_replace(p, '/$', ''), ''), '/') ELSE p END AS path FROM (SELECT page_id, {_PP} AS p FROM pages)",
     "index_fold": f"SELECT page_id, regexp_replace(regexp_replace(({_PP}) || CASE WHEN page_id % 2 = 0 THEN '/index.html' ELSE '' END, '/index\\.html$', '/'), '/+', '/', 'g') AS path FROM pages",
     "registrable_domains": f"SELECT regexp_extract({_HOST}, '([^.]+\\.[^.]+)$', 1) AS domain, count(*) AS urls, count(DISTINCT {_HOST}) AS hosts FROM pages GROUP BY 1",
+    "policy_canonical": f"SELECT page_id, lower(string_split(url, ':')[1]) || '://' || lower(regexp_extract({_REST}, '^[^/?]*', 0)) || ({_FOLDED}) || CASE WHEN {_KEPT} <> '' THEN '?' || {_KEPT} ELSE '' END AS url FROM pages",
+    "page_link_dedup": f"""WITH t AS (SELECT page_id, min(position) AS first, lower(string_split(url, ':')[1]) || '://' || lower(regexp_extract({_REST}, '^[^/?]*', 0)) || replace(replace(url_encode(href), '%2F', '/'), '%2C', ',') AS target FROM ({_HREFS}) GROUP BY ALL)
+      SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY first) - 1 AS position, target, 1::INTEGER AS depth FROM t""",
     "link_extract": f"SELECT page_id, CAST(position AS BIGINT) AS position, href FROM ({_HREFS})",
     "page_links_distinct": f"SELECT DISTINCT page_id, href FROM ({_HREFS})",
     "host_outdegree": f"SELECT {_HOST} AS host, count(*) AS links, count(DISTINCT href) AS targets FROM ({_HREFS}) GROUP BY 1",

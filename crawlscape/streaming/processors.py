@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.outcomes import COUNTERS
-from ..schema import CRAWLED, GONE, SCHEDULED, TRAPPED, Importance, Scheduler
+from ..operators.outcomes import COUNTERS, apply_outcome, new_page
+from ..schema import SCHEDULED, TRAPPED, Importance, Scheduler
 
 ADMITTED = "host STRING, url STRING, seq BIGINT, url_count BIGINT, url_budget BIGINT, status INT"
 PAGE = ", ".join(["url STRING", *(f"{c} BIGINT" for c in COUNTERS)])
@@ -60,7 +60,7 @@ class Intake(StatefulProcessor):
 
 
 class Outcomes(StatefulProcessor):
-    """Outcomes of a page: its state after each batch, by the rules of ``operators.outcomes.fold_events``. An
+    """Outcomes of a page: its state after each batch, by the rules of ``operators.outcomes.apply_outcome``. An
     outcome at or below the last number seen is a repeated delivery."""
 
     def __init__(self, s: Scheduler = Scheduler()):
@@ -69,41 +69,15 @@ class Outcomes(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.page = handle.getValueState("page", ", ".join(f"{c} BIGINT" for c in (*COUNTERS, "last")))
 
-    def _step(self, a: dict, e) -> None:
-        at, status = int(e.at), int(e.status)
-        moved = bool(e.redirect) or 300 <= status <= 399
-        a["http_status"] = status
-        if not e.not_modified and not moved and (e.retryable or 400 <= status <= 599):
-            a["retry_count"] = min(a["retry_count"] + 1, self.s.max_retries)
-            a["error_count"] = min(a["error_count"] + 1, 65535)
-            if status == 410 or a["retry_count"] >= self.s.max_retries:
-                a["status"] = GONE
-            else:
-                a["status"], a["next_due"] = SCHEDULED, at + min(2 ** (a["retry_count"] - 1), self.s.recrawl_gap)
-            return
-        fp, sim = int(e.fp), int(e.sim)
-        body = not e.not_modified and fp != 0
-        known = body and a["content_fp"] != 0
-        same = known and (a["content_fp"] == fp or ((a["simhash"] ^ sim) & ((1 << 64) - 1)).bit_count() <= 3)
-        if known and not same:
-            a["change_count"], a["nochange_streak"], a["last_changed"] = a["change_count"] + 1, 0, at
-        elif same or e.not_modified:
-            a["nochange_streak"] += 1
-        if body:
-            a["content_fp"], a["simhash"] = fp, sim
-        a["first_seen"] = a["first_seen"] or at
-        a.update(status=CRAWLED, retry_count=0, crawl_count=a["crawl_count"] + 1, last_crawled=at, next_due=at + self.s.recrawl_gap)
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        start = {c: 0 for c in COUNTERS} | {"status": SCHEDULED, "last": -1}
+        start = new_page() | {"last": -1}
         a = dict(zip(start, self.page.get(), strict=True)) if self.page.exists() else start
         frames = [f for f in rows if len(f)]
         top = a["last"]
         for r in pd.concat(frames).sort_values(["at", "seq"], kind="stable").itertuples() if frames else ():
             if r.seq > a["last"]:
                 top = max(top, int(r.seq))
-                if a["status"] != GONE:
-                    self._step(a, r)
+                apply_outcome(a, r, self.s)
         a["last"] = top
         self.page.update(tuple(a.values()))
         yield pd.DataFrame([(key[0], *(a[c] for c in COUNTERS))], columns=["url", *COUNTERS])
