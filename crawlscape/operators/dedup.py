@@ -7,9 +7,12 @@ import struct
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import cutter
+
 
 def first_sightings(batch: DataFrame, seen: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """The earliest row of every key that ``seen`` does not hold. Sized by the optimizer: no side is forced."""
@@ -153,12 +156,21 @@ def load_filter(blob: bytes) -> BlockedBloom | Ribbon:
     return out
 
 
+def buckets_for(keys: DataFrame, per_bucket: int = 1_000_000) -> int:
+    """Buckets of about ``per_bucket`` keys, which a task holds as one filter; 8 at least."""
+    return max(8, -(-keys.count() // per_bucket))
+
+
+def _bucket(key: str, buckets: int):
+    return F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(buckets)).cast("int")
+
+
 def build_filters(keys: DataFrame, key: str, buckets: int, kind: str = "bloom", rate: float = 0.01, rbits: int = 7) -> DataFrame:
-    """(bucket, keys, bits_per_key, blob): one filter per hash bucket; choose ``buckets`` so that a bucket of
-    distinct keys fits a task."""
+    """(bucket, keys, bits_per_key, blob): one filter per hash bucket of the distinct keys; ``buckets_for`` gives a
+    number whose buckets fit a task. Null keys are in no filter."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[key].to_numpy(np.int64)
+        own = pdf["__k"].to_numpy(np.int64)
         if kind == "ribbon":
             made = Ribbon(own.view(np.uint64), rbits)
         else:
@@ -166,24 +178,37 @@ def build_filters(keys: DataFrame, key: str, buckets: int, kind: str = "bloom",
             made.add(own.view(np.uint64))
         return pd.DataFrame({"bucket": [int(pdf["bucket"].iloc[0])], "keys": [len(own)], "bits_per_key": [made.bits_per_key()], "blob": [made.dump()]})
 
-    dealt = keys.select(key).distinct().withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    return dealt.groupBy("bucket").applyInPandas(build, "bucket int, keys long, bits_per_key double, blob binary")
+    known = keys.select(F.col(key).cast("long").alias("__k")).where("__k is not null").distinct().withColumn("bucket", _bucket("__k", buckets))
+    return known.groupBy("bucket").applyInPandas(build, "bucket int, keys long, bits_per_key double, blob binary")
 
 
-def probe_filters(rows: DataFrame, key: str, filters: DataFrame, buckets: int) -> DataFrame:
-    """Adds ``maybe_seen``; false is certain. Rows meet the filter of their bucket, salted so that a hot
-    bucket spreads over tasks."""
-    salts = 8
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
-    spread = filters.select("bucket", "blob").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+def probe_filters(rows: DataFrame, key: str, filters: DataFrame, buckets: int, per_task: int = 500_000) -> DataFrame:
+    """Adds ``maybe_seen``; false is certain, and a null key was never seen. Rows meet the filter of their bucket,
+    dealt by all their columns over as many tasks as keep each at about ``per_task`` rows; equal rows share one, so
+    that a table with very many of them is to be made distinct first, as ``unseen`` does."""
+    salts = max(8, -(-rows.count() // (buckets * per_task)))
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")
+    dealt = rows.withColumn("__k", F.coalesce(F.col(key).cast("long"), F.lit(0))).withColumn("__bucket", _bucket("__k", buckets)).withColumn("__salt", salt)
+    spread = filters.select(F.col("bucket").alias("__bucket"), "blob").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
-    def probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        keys = left[key].to_numpy(np.int64).view(np.uint64)
-        hit = load_filter(bytes(right["blob"].iloc[0])).maybe(keys) if len(right) else np.zeros(len(left), bool)
-        return left.drop(columns=["bucket", "__salt"]).assign(maybe_seen=hit)
+    def probe(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys = left["__k"].to_numpy().astype(np.int64).view(np.uint64)
+        hit = load_filter(right["blob"][0].as_py()).maybe(keys) if len(right) and len(left) else np.zeros(len(left), bool)
+        known = left[key].is_valid().to_numpy()
+        return left.drop_columns(["__k", "__bucket", "__salt"]).append_column("maybe_seen", pa.array(hit & known, pa.bool_()))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", maybe_seen boolean"
-    return dealt.groupBy("bucket", "__salt").cogroup(spread.groupBy("bucket", "__salt")).applyInPandas(probe, schema)
+    return dealt.groupBy("__bucket", "__salt").cogroup(spread.groupBy("__bucket", "__salt")).applyInArrow(probe, schema)
+
+
+def unseen(rows: DataFrame, seen: DataFrame, key: str, kind: str = "bloom") -> DataFrame:
+    """Rows whose key ``seen`` does not hold: a filter's no is final, and only its maybes are joined with the
+    keys. Each distinct key is probed once; rows of a null key were never seen."""
+    keep = cutter(rows.sparkSession, "unseen")
+    buckets = buckets_for(seen)
+    probed = keep(probe_filters(rows.select(key).distinct(), key, build_filters(seen, key, buckets, kind), buckets), "probed")
+    fresh = probed.where("maybe_seen").join(seen.select(key), key, "left_anti").unionByName(probed.where("not maybe_seen")).select(key)
+    return rows.join(fresh, key, "left_semi").unionByName(rows.where(F.col(key).isNull()))
 
 
 def in_sequence(*partition: str, order: str):

@@ -90,30 +90,49 @@ def url_keys(spark, sf):
 def bloom_seen_filter(spark, sf):
     """Filters of all page keys and what they say of the keys themselves and of keys that no page has."""
     keys = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("k")).distinct()
-    filters = dedup.build_filters(keys, "k", 8)
+    buckets = dedup.buckets_for(keys)
+    filters = dedup.build_filters(keys, "k", buckets)
     probes = keys.select("k", F.lit(True).alias("present")).union(keys.select(F.col("k") + 1_000_000_007, F.lit(False)))
-    hit = dedup.probe_filters(probes, "k", filters, 8)
+    hit = dedup.probe_filters(probes, "k", filters, buckets)
     size = filters.agg((F.sum(F.col("bits_per_key") * F.col("keys")) / F.sum("keys")).alias("bits_per_url"))
     return hit.groupBy("present").agg(F.count("*").alias("keys"), F.count_if("maybe_seen").alias("hits")).join(F.broadcast(size))
 
 
 def ribbon_seen_filter(spark, sf):
     keys = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
-    filters = dedup.build_filters(keys, "k", 8, "ribbon")
+    buckets = dedup.buckets_for(keys)
+    filters = dedup.build_filters(keys, "k", buckets, "ribbon")
     probes = keys.select("k", F.lit(True).alias("present")).union(keys.select(F.col("k") + 1_000_000_007, F.lit(False)))
-    hit = dedup.probe_filters(probes, "k", filters, 8)
+    hit = dedup.probe_filters(probes, "k", filters, buckets)
     size = filters.agg((F.sum(F.col("bits_per_key") * F.col("keys")) / F.sum("keys")).alias("bits_per_url"))
     return hit.groupBy("present").agg(F.count("*").alias("keys"), F.count_if("maybe_seen").alias("hits")).join(F.broadcast(size))
 
 
-QUERIES = {f.__name__: f for f in (body_normalize, content_exact_dups, soft404_templates, soft404_online, soft404_bodies, soft404_bodies_online, simhash_md5, simhash_xx64, near_dup_pairs, change_kinds, url_keys, bloom_seen_filter, ribbon_seen_filter)}
+def _unseen_customers(spark, sf, kind):
+    """Customers without a pending order: new pages behind a filter of the seen ones."""
+    seen = table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return dedup.unseen(table(spark, sf, "customer").select("c_custkey", "c_name"), seen, "c_custkey", kind)
+
+
+def bloom_prefilter_antijoin(spark, sf):
+    return _unseen_customers(spark, sf, "bloom")
+
+
+def ribbon_prefilter_antijoin(spark, sf):
+    return _unseen_customers(spark, sf, "ribbon")
+
+
+QUERIES = {f.__name__: f for f in (body_normalize, content_exact_dups, soft404_templates, soft404_online, soft404_bodies, soft404_bodies_online, simhash_md5, simhash_xx64, near_dup_pairs, change_kinds, url_keys, bloom_seen_filter, ribbon_seen_filter, bloom_prefilter_antijoin, ribbon_prefilter_antijoin)}
 
 _SIM = f"""SELECT d.doc_id, coalesce(s, 0) AS simhash FROM documents d LEFT JOIN (
   SELECT doc_id, {' + '.join(f'CASE WHEN sum(CASE WHEN (h >> {b}) & 1 = 1 THEN n ELSE -n END) > 0 THEN {1 << b}::BIGINT ELSE 0 END' for b in range(60))} AS s
   FROM (SELECT doc_id, n, ('0x' || substr(md5(t), 1, 15))::BIGINT AS h FROM
     (SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')) AS t FROM documents) GROUP BY ALL))
   GROUP BY doc_id) x ON d.doc_id = x.doc_id WHERE d.text IS NOT NULL"""
+_UNSEEN = "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')"
 ORACLE = {
+    "bloom_prefilter_antijoin": _UNSEEN,
+    "ribbon_prefilter_antijoin": _UNSEEN,
     "body_normalize": f"SELECT doc_id, md5({_NORM}) AS body_md5 FROM documents",
     "content_exact_dups": f"SELECT count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY md5({_NORM}) HAVING count(*) > 1",
     "soft404_templates": "SELECT source, md5(substr(text, 1, 12)) AS fp, count(DISTINCT doc_id) AS urls FROM documents GROUP BY ALL HAVING count(DISTINCT doc_id) >= 2",

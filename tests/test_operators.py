@@ -209,3 +209,31 @@ def test_partition_map_edits_move_forward():
     assert pinned.newer(m) is pinned and m.newer(pinned) is pinned and PartitionMap().remove_partition().partitions == 1
     with pytest.raises(ValueError):
         m.pin(1, 9)
+
+
+def test_unseen_equals_the_anti_join(spark):
+    """Hot, repeated and null keys; columns named like the operator's own."""
+    from crawlscape.operators import dedup
+
+    seen = spark.range(0, 3000, 3).selectExpr("id as k").union(spark.sql("select cast(null as bigint)"))
+    rows = spark.range(4000).selectExpr("if(id % 3 = 1, 7, if(id % 50 = 0, null, id)) as k", "id % 2 as bucket", "'x' as blob")
+    wanted = rows.join(seen.distinct(), "k", "left_anti")
+    for kind in ("bloom", "ribbon"):
+        got = dedup.unseen(rows, seen, "k", kind)
+        assert got.columns == rows.columns and got.exceptAll(wanted).count() == 0 and wanted.exceptAll(got).count() == 0
+    assert dedup.unseen(rows.limit(0), seen, "k").count() == 0 and dedup.unseen(rows, seen.limit(0), "k").count() == 4000
+
+
+def test_folds_keep_one_state(spark):
+    """A host with very many outcomes, a null host and an empty table; the fold of a short array says the same."""
+    from pyspark.sql import functions as F
+
+    from crawlscape.functions import politeness
+    from crawlscape.operators import outcomes
+
+    rows = spark.range(30_000).selectExpr("if(id % 10 < 7, 1, if(id % 10 = 7, null, id % 40)) as host", "id as at", "id as seq", "cast(if(hash(id) % 5 = 0, 503, 200) as bigint) as status", "if(id % 100 = 0, 5000, 0L) as retry_after", "pmod(hash(id, 1), 900) as latency", "400L as delay")
+    got = {r.host: tuple(r)[1:] for r in outcomes.fold_rates(rows, "host").collect()}
+    event = F.struct("at", "seq", "status", "retry_after", F.col("latency").cast("long").alias("latency"))
+    short = rows.groupBy("host").agg(F.sort_array(F.collect_list(event)).alias("e")).withColumn("s", politeness.fold_outcomes(F.col("e"), F.lit(400).cast("long")))
+    assert got == {r.host: tuple(r.s) for r in short.select("host", "s").collect()} and None in got
+    assert outcomes.fold_rates(rows.limit(0), "host").count() == 0
