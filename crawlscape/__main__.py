@@ -1,7 +1,7 @@
 """Command line: each command is a DataFrame job over capture listings or written partitions.
 
     python -m crawlscape seed     --input captures.jsonl --data DIR
-    python -m crawlscape run      --input captures.jsonl --data DIR [--delay 10] [--files 4]
+    python -m crawlscape run      --input captures.jsonl --data DIR [--delay 10] [--files 4] [--fetcher module:function --until HOURS]
     python -m crawlscape schedule --data DIR --now HOURS [--limit 50] [--host HOST]
     python -m crawlscape stats | inspect | map | compact | bench  --data DIR
 """
@@ -9,6 +9,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from .functions import keys, urls
 from .operators import costs, placement, scheduling
 from .schema import CRAWLED, SCHEDULED, STATUS, Scheduler
 from .sources import captures, layout
+from .streaming.engine import Crawl
 
 
 def seeded(spark: SparkSession, path: str, priority: float) -> tuple[DataFrame, int, int]:
@@ -35,6 +37,20 @@ def drained(pages: DataFrame, delay: int, start: int = 0) -> DataFrame:
     return timed.withColumn("status", F.lit(CRAWLED).cast("tinyint")).withColumn("crawl_count", F.lit(1).cast("long")).withColumn("last_crawled", hour).withColumn("next_due", hour + Scheduler().recrawl_gap)
 
 
+def crawled(spark: SparkSession, pages: DataFrame, root: str, fetcher: str, delay: int, until: int) -> DataFrame:
+    """Seeds run through the streaming crawl with the named fetcher, and through the turns that fall due up to ``until``.
+
+    A second call with the same folder goes on from what the first one left."""
+    module, _, function = fetcher.partition(":")
+    seeds = pages.select("url", "host", F.col("host").alias("src_host"), F.col("depth").cast("int").alias("depth"), F.col("path_key").alias("seq"), F.col("priority").cast("double").alias("link_weight"))
+    seeds.write.mode("ignore").parquet(f"{root}/seeds")
+    crawl = Crawl(spark, root, getattr(importlib.import_module(module), function), delay)
+    crawl.start(spark.readStream.schema(seeds.schema).parquet(f"{root}/seeds")).awaitTermination()
+    crawl.drain(until)
+    state = crawl.pages().select("url", F.col("status").cast("tinyint").alias("status"), F.col("priority").cast("float").alias("priority"), "crawl_count", F.col("last_crawled").cast("int").alias("last_crawled"), F.col("next_due").cast("int").alias("next_due"))
+    return pages.drop("status", "priority", "crawl_count", "next_due").join(state, "url")
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser("crawlscape", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     parser.add_argument("command", choices=["seed", "run", "serve", "pack", "schedule", "stats", "inspect", "map", "compact", "bench"])
@@ -46,6 +62,8 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--now", type=int, default=0, help="hours")
     parser.add_argument("--limit", type=int, default=50)
     parser.add_argument("--host")
+    parser.add_argument("--fetcher", help="module:function that gets a page as a dict and returns its outcome; without one, every page is taken as crawled")
+    parser.add_argument("--until", type=int, default=0, help="hours of retries and recrawls after the seeds")
     parser.add_argument("--files", type=int, default=4)
     parser.add_argument("--parts", type=int, default=16)
     args = parser.parse_args(argv)
@@ -54,7 +72,12 @@ def main(argv: list[str] | None = None) -> int:
 
     if args.command in ("seed", "run", "serve", "pack"):
         pages, read, skipped = seeded(spark, args.input, args.priority)
-        done = pages if args.command == "seed" else drained(pages, args.delay)
+        if args.command == "seed":
+            done = pages
+        elif args.fetcher:
+            done = crawled(spark, pages, f"{args.data}-crawl", args.fetcher, args.delay, args.until)
+        else:
+            done = drained(pages, args.delay)
         layout.write_partition(done, args.data, args.files)
         if args.command == "pack":
             layout.write_wheel(done, f"{args.data}-wheel")

@@ -17,17 +17,19 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators.outcomes import COUNTERS, apply_outcome, new_page
 from ..schema import SCHEDULED, TRAPPED, Importance, Scheduler
 
-ADMITTED = "host STRING, url STRING, seq BIGINT, url_count BIGINT, url_budget BIGINT, status INT"
+ADMITTED = "host STRING, url STRING, seq BIGINT, url_count BIGINT, url_budget BIGINT, status INT, depth BIGINT, weight DOUBLE"
+SEEN = 0  # status of a rediscovery
 PAGE = ", ".join(["url STRING", *(f"{c} BIGINT" for c in COUNTERS)])
 DUE = "url STRING, due_at BIGINT"
 GUARDED = "key STRING, version BIGINT, value DOUBLE"
 
 
 class Intake(StatefulProcessor):
-    """Discoveries of a host (url, src_host, depth, seq): every new URL once, with its admission."""
+    """Discoveries of a host (url, src_host, depth, seq, link_weight): every new URL once, with its admission, and
+    with ``rediscovered`` a row of status SEEN for each later link to it."""
 
-    def __init__(self, depth_cap: int = 0, p: Importance = Importance()):
-        self.depth_cap, self.p = depth_cap, p
+    def __init__(self, depth_cap: int = 0, p: Importance = Importance(), rediscovered: bool = False):
+        self.depth_cap, self.p, self.rediscovered = depth_cap, p, rediscovered
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.urls = handle.getMapState("urls", "url STRING", "seq BIGINT")
@@ -45,15 +47,17 @@ class Intake(StatefulProcessor):
                 if r.src_host != host and not self.sources.containsKey((r.src_host,)):
                     self.sources.updateValue((r.src_host,), (int(r.seq),))
                     linking += 1
+                budget = min(max(p.budget_base + p.budget_per_link * linking, p.budget_min), p.budget_max)
                 if self.urls.containsKey((r.url,)):
+                    if self.rediscovered:
+                        out.append((host, r.url, int(r.seq), count, budget, SEEN, int(r.depth), r.link_weight))
                     continue
                 self.urls.updateValue((r.url,), (int(r.seq),))
-                budget = min(max(p.budget_base + p.budget_per_link * linking, p.budget_min), p.budget_max)
                 parked = (self.depth_cap and r.depth > self.depth_cap) or count >= budget
-                out.append((host, r.url, int(r.seq), count, budget, TRAPPED if parked else SCHEDULED))
+                out.append((host, r.url, int(r.seq), count, budget, TRAPPED if parked else SCHEDULED, int(r.depth), r.link_weight))
                 count += 1
             self.counts.update((count, linking))
-        yield pd.DataFrame(out, columns=["host", "url", "seq", "url_count", "url_budget", "status"])
+        yield pd.DataFrame(out, columns=["host", "url", "seq", "url_count", "url_budget", "status", "depth", "weight"])
 
     def close(self) -> None:
         pass
@@ -132,8 +136,11 @@ class Guard(StatefulProcessor):
         pass
 
 
-def intake(discoveries: DataFrame, depth_cap: int = 0, p: Importance = Importance()) -> DataFrame:
-    return discoveries.groupBy("host").transformWithStateInPandas(Intake(depth_cap, p), ADMITTED, "Append", "None")
+def intake(discoveries: DataFrame, depth_cap: int = 0, p: Importance = Importance(), rediscovered: bool = False) -> DataFrame:
+    """``discoveries`` has (host, url, src_host, depth, seq) and, where it is known, link_weight."""
+    weight = F.coalesce(F.col("link_weight").cast("double"), F.lit(0.0)) if "link_weight" in discoveries.columns else F.lit(0.0)
+    rows = discoveries.select("host", "url", "src_host", "depth", "seq", weight.alias("link_weight"))
+    return rows.groupBy("host").transformWithStateInPandas(Intake(depth_cap, p, rediscovered), ADMITTED, "Append", "None")
 
 
 def outcome_updates(outcomes: DataFrame, s: Scheduler = Scheduler()) -> DataFrame:

@@ -12,3 +12,13 @@ def test_commands(spark, tmp_path, capsys):
         assert main([command[0], "--data", data, *command[1:]]) == 0
     said = capsys.readouterr().out
     assert "skipped   1" in said and "crawled" in said and said.count("  due 168  http") == 3 and "bytes/url" in said and "moved hosts" in said
+
+
+def test_run_with_a_fetcher(spark, tmp_path, capsys):
+    lines = [{"url": f"http://h{i % 3}.com/p/{i}", "host": f"h{i % 3}.com", "timestamp": "20240102030405"} for i in range(30)]
+    (tmp_path / "c.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    data = str(tmp_path / "data")
+    assert main(["run", "--input", str(tmp_path / "c.jsonl"), "--data", data, "--fetcher", "tests.test_engine:fetch", "--until", "100"]) == 0
+    pages = {r.url: r for r in spark.read.parquet(data).collect()}
+    assert len(pages) == 30 and pages["http://h2.com/p/29"].status == 6 and pages["http://h2.com/p/17"].crawl_count == 1
+    assert main(["schedule", "--data", data, "--now", "10000000", "--limit", "3"]) == 0 and capsys.readouterr().out.count("  due 168  ") == 3
