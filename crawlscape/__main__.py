@@ -3,19 +3,21 @@
     python -m crawlscape seed     --input captures.jsonl --data DIR
     python -m crawlscape run      --input captures.jsonl --data DIR [--delay 10] [--files 4] [--fetcher module:function --until HOURS]
     python -m crawlscape schedule --data DIR --now HOURS [--limit 50] [--host HOST]
-    python -m crawlscape stats | inspect | map | compact | bench  --data DIR
+    python -m crawlscape stats | inspect | map | bench  --data DIR
+    python -m crawlscape compact  --data DIR [--merge DIR ...] [--out DIR]
 """
 
 from __future__ import annotations
 
 import argparse
+import functools
 import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import keys, urls
-from .operators import costs, placement, scheduling
+from .operators import costs, dedup, placement, scheduling
 from .schema import CRAWLED, SCHEDULED, STATUS, Scheduler
 from .sources import captures, layout
 from .streaming.engine import Crawl
@@ -57,6 +59,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--input")
     parser.add_argument("--data", required=True)
     parser.add_argument("--out")
+    parser.add_argument("--merge", nargs="*", default=[], help="further partitions to compact with, of other key ranges")
     parser.add_argument("--priority", type=float, default=0.5)
     parser.add_argument("--delay", type=int, default=10, help="deciseconds")
     parser.add_argument("--now", type=int, default=0, help="hours")
@@ -108,11 +111,14 @@ def main(argv: list[str] | None = None) -> int:
         for row in placement.coverage_breaks(files, -(1 << 63), (1 << 63) - 2).collect():
             print(f"{row.kind} at {row.at_lo + 2**63:016x}..{row.at_hi + 2**63:016x}")
     elif args.command == "compact":
-        layout.write_partition(layout.compact(pages), args.out or f"{args.data}-compacted", args.files)
+        merged = functools.reduce(layout.merge, [pages, *(spark.read.parquet(d) for d in args.merge)])
+        layout.write_partition(layout.compact(merged), args.out or f"{args.data}-compacted", args.files)
     else:
         chunks, n = layout.inspect(spark, args.data), pages.count()
         size = chunks.agg(F.sum("bytes")).head()[0] / max(1, n)
-        row = spark.range(1).select(*costs.projection(F.lit(10.0), F.lit(size), 1e11, 3e7)).head()
+        measured = dedup.filter_figures(pages.select(F.xxhash64("host_key", "path_key").alias("k")), "k").head()
+        show("seen filter", [("bits/url", f"{measured.bits_per_url:.2f}"), ("false negatives", measured.false_negatives), ("false-positive rate", f"{measured.false_positive_rate:.4f}")])
+        row = spark.range(1).select(*costs.projection(F.lit(measured.bits_per_url), F.lit(size), 1e11, 3e7)).head()
         show("projection to 1e11 URLs", [("bytes/url", f"{size:.2f}"), ("partitions", f"{row.partitions:.0f}"), ("files", costs.human_bytes(row.file_bytes)), ("seen filters", costs.human_bytes(row.seen_bytes))])
         hosts = pages.groupBy("host_key").agg(F.count("*").alias("urls"), (F.count("*") * size).cast("long").alias("bytes")).withColumn("crawl_delay", F.lit(args.delay))
         moved = costs.rebalance_cost(hosts, keys.owner(F.col("host_key"), args.parts)).head()

@@ -211,5 +211,18 @@ def unseen(rows: DataFrame, seen: DataFrame, key: str, kind: str = "bloom") -> D
     return rows.join(fresh, key, "left_semi").unionByName(rows.where(F.col(key).isNull()))
 
 
+def filter_figures(keys: DataFrame, key: str, kind: str = "bloom") -> DataFrame:
+    """One row (keys, bits_per_url, false_negatives, false_positive_rate): a filter of all distinct keys, probed with
+    each of them and with as many that it doesn't hold. Without keys the rates are 0."""
+    known = keys.select(F.col(key).cast("long").alias("k")).where("k is not null").distinct()
+    buckets = buckets_for(known)
+    filters = build_filters(known, "k", buckets, kind)
+    other = known.select(F.xxhash64(F.lit("absent"), "k").alias("k")).distinct().join(known, "k", "left_anti")
+    probed = probe_filters(known.withColumn("present", F.lit(True)).union(other.withColumn("present", F.lit(False))), "k", filters, buckets)
+    size = filters.agg(F.coalesce(F.sum("keys"), F.lit(0)).alias("keys"), F.coalesce(F.sum(F.col("bits_per_key") * F.col("keys")) / F.sum("keys"), F.lit(0.0)).alias("bits_per_url"))
+    rates = probed.agg(F.count_if(F.col("present") & ~F.col("maybe_seen")).alias("false_negatives"), (F.count_if(~F.col("present") & F.col("maybe_seen")) / F.greatest(F.count_if(~F.col("present")), F.lit(1))).alias("false_positive_rate"))
+    return size.join(F.broadcast(rates))
+
+
 def in_sequence(*partition: str, order: str):
     return Window.partitionBy(*partition).orderBy(order)

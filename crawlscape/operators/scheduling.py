@@ -103,20 +103,20 @@ def split_streams(discovery: DataFrame, refresh: DataFrame, seq: str, shares: tu
     return turns[0].unionByName(turns[1])
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "number", ranges: int = 64) -> DataFrame:
-    """Numbers rows from 0 in ``order``: each range of the leading column is numbered on its own and starts at
-    the count of the ranges before it (at most ``ranges`` rows on the driver)."""
-    lead = order[0]
-    cuts = df.agg(F.percentile_approx(F.col(lead).cast("long"), [i / ranges for i in range(1, ranges)], 10_000)).head()[0] or []
-    cuts = sorted(set(cuts))
-    place = F.when(F.col(lead).isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c < F.col(lead))) if cuts else F.lit(0))
-    dealt = df.withColumn("__range", place)
-    offset, total = {}, 0
-    for r, n in sorted(dealt.groupBy("__range").count().collect()):
-        offset[r], total = total, total + n
-    start = F.coalesce(*[F.when(F.col("__range") == r, F.lit(o)) for r, o in offset.items()]) if offset else F.lit(0)
+def numbered(df: DataFrame, order: list[str], name: str = "number", ranges: int = 0, rows_per_range: int = 500_000) -> DataFrame:
+    """Numbers rows from 0 in ``order``, nulls first: ranges of the whole order, as many as keep each at about
+    ``rows_per_range`` rows, are numbered on their own and start at the counts of the ranges before.
+
+    Rows that tie in the whole order share a range and are numbered in any order. The one window without a key
+    has a row for each range."""
+    ranges = ranges or max(1, -(-df.count() // rows_per_range))
+    keep = cutter(df.sparkSession, "numbered")
+    # written, since ranges drawn a second time could have other bounds
+    dealt = keep(df.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("__range").agg(F.count("*").alias("__n")).select("__range", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
     inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
-    return dealt.withColumn(name, (start + inside).cast("long")).drop("__range")
+    return dealt.withColumn("__inside", inside).join(starts, "__range").withColumn(name, (F.col("__start") + F.col("__inside")).cast("long")).drop("__range", "__inside", "__start")
 
 
 def shard_of(host_key: Column, shards: int) -> Column:

@@ -21,18 +21,19 @@ def content_exact_dups(spark, sf):
     return table(spark, sf, "documents").groupBy(fp).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc")).where("copies > 1").select("copies", "first_doc")
 
 
-def soft404_templates(spark, sf):
-    pages = table(spark, sf, "documents").select("source", F.md5(F.substring("text", 1, 12).cast("binary")).alias("fp"), "doc_id")
-    return admission.soft_404(pages, "source", "fp", "doc_id", 2)
+def _bodies(spark, sf):
+    return table(spark, sf, "documents").select("source", F.md5(C.normalize_body(F.col("text")).cast("binary")).alias("fp"), "doc_id")
 
 
-def soft404_online(spark, sf):
-    pages = table(spark, sf, "documents").select("source", F.md5(F.substring("text", 1, 12).cast("binary")).alias("fp"), "doc_id")
-    return admission.soft_404_online(pages, "source", "fp", "doc_id", "doc_id", 2).select("doc_id", "soft_404")
+def soft404_templates(spark, sf):
+    """Whole normalised bodies that a source serves on two pages or more."""
+    return admission.soft_404(_bodies(spark, sf), "source", "fp", "doc_id", 2)
 
 
-def _bodies(spark, sf):
-    return table(spark, sf, "documents").select("source", F.md5(C.normalize_body(F.col("text")).cast("binary")).alias("fp"), "doc_id")
+def soft404_online(spark, sf):
+    """Whether a page's whole normalised body was served before; a page without a body is no template."""
+    found = admission.soft_404_online(_bodies(spark, sf), "source", "fp", "doc_id", "doc_id", 2)
+    return found.select("doc_id", (F.col("soft_404") & F.col("fp").isNotNull()).alias("soft_404"))
 
 
 def soft404_bodies(spark, sf):
@@ -135,8 +136,8 @@ ORACLE = {
     "ribbon_prefilter_antijoin": _UNSEEN,
     "body_normalize": f"SELECT doc_id, md5({_NORM}) AS body_md5 FROM documents",
     "content_exact_dups": f"SELECT count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY md5({_NORM}) HAVING count(*) > 1",
-    "soft404_templates": "SELECT source, md5(substr(text, 1, 12)) AS fp, count(DISTINCT doc_id) AS urls FROM documents GROUP BY ALL HAVING count(DISTINCT doc_id) >= 2",
-    "soft404_online": "SELECT doc_id, row_number() OVER (PARTITION BY source, md5(substr(text, 1, 12)) ORDER BY doc_id) >= 2 AS soft_404 FROM documents",
+    "soft404_templates": f"SELECT source, md5({_NORM}) AS fp, count(DISTINCT doc_id) AS urls FROM documents WHERE text IS NOT NULL GROUP BY ALL HAVING count(DISTINCT doc_id) >= 2",
+    "soft404_online": f"SELECT doc_id, text IS NOT NULL AND dense_rank() OVER (PARTITION BY source, md5({_NORM}) ORDER BY doc_id) >= 2 AS soft_404 FROM documents",
     "soft404_bodies": f"SELECT source, md5({_NORM}) AS fp, count(DISTINCT doc_id) AS urls FROM documents WHERE text IS NOT NULL GROUP BY ALL HAVING count(DISTINCT doc_id) >= 8",
     "soft404_bodies_online": f"SELECT doc_id, text IS NOT NULL AND dense_rank() OVER (PARTITION BY source, md5({_NORM}) ORDER BY doc_id) >= 8 AS soft_404 FROM documents",
     "simhash_md5": _SIM,

@@ -49,7 +49,7 @@ def opic_score(spark, sf):
 
 def pagerank_5(spark, sf):
     edges, _ = _state(spark, sf)
-    return importance.pagerank(edges.where("src < 30"), 5).select("node", F.round("rank", 9).alias("rank"))
+    return importance.pagerank(edges, 5).select("node", F.round("rank", 9).alias("rank"))
 
 
 def _page_state(spark, sf):
@@ -104,7 +104,7 @@ _PAGES = f"SELECT src, dst FROM ({LINKS})"
 _OPIC_PAGES = _OPIC.replace(_EDGES, _PAGES)
 
 
-def _rounds(k: int, edges: str = f"SELECT DISTINCT src, dst FROM ({_EDGES}) WHERE src < 30", out: str = "round(rank, 9)") -> str:
+def _rounds(k: int, edges: str = f"SELECT DISTINCT src, dst FROM ({_EDGES})", out: str = "round(rank, 9)") -> str:
     steps = [f"e AS ({edges})", "nn AS (SELECT src AS node FROM e UNION SELECT dst FROM e)", "c AS (SELECT count(*) AS n FROM nn)", "d AS (SELECT src, count(*) AS o FROM e GROUP BY 1)", "r0 AS (SELECT node, 1.0::DOUBLE / n AS rank FROM nn, c)"]
     for i in range(k):
         steps.append(f"r{i + 1} AS (SELECT nn.node, 0.15::DOUBLE / c.n + 0.85::DOUBLE * (coalesce(g.got, 0) + l.lost / c.n) AS rank FROM nn CROSS JOIN c CROSS JOIN (SELECT coalesce(sum(rank), 0) AS lost FROM r{i} WHERE node NOT IN (SELECT src FROM d)) l LEFT JOIN (SELECT dst, sum(rank / o) AS got FROM e JOIN d USING (src) JOIN r{i} ON node = src GROUP BY 1) g ON g.dst = nn.node)")

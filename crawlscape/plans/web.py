@@ -86,22 +86,28 @@ def dedup_urls(spark, sf):
 
 def discovery_antijoin(spark, sf):
     """Links of pages to URLs that no page has: the first sighting of each."""
-    pages = table(spark, sf, "pages").select("page_id", U.canonical_url(F.col("url")).alias("url"), U.host_of(F.col("url")).alias("host"), "html")
-    seen = pages.select("url")
-    found = pages.select((F.col("page_id") * 1000).alias("base"), "host", F.posexplode(P.hrefs(F.col("html"))).alias("i", "href")).where("href like '/%'")
-    batch = found.select(F.concat(F.lit("https://"), "host", "href").alias("url"), (F.col("base") + F.col("i")).alias("seq"))
-    return dedup.first_sightings(batch, seen, ["url"], "seq")
+    pages = table(spark, sf, "pages")
+    batch = P.extract_links(pages).select(F.col("target").alias("url"), F.struct("page_id", "position").alias("at"))
+    found = dedup.first_sightings(batch, pages.select(U.canonical_url(F.col("url")).alias("url")), ["url"], "at")
+    return found.select("url", "at.page_id", "at.position")
+
+
+def _targets(pages):
+    return P.extract_links(pages).select(F.col("target").alias("url"))
 
 
 def drum_classify(spark, sf):
-    batch = table(spark, sf, "pages").select(F.col("page_id").alias("seq"), U.host_of(F.col("url")).alias("host"))
-    seen = table(spark, sf, "pages").where("page_id < 20").select(U.host_of(F.col("url")).alias("host"))
-    return dedup.classify_batch(batch, seen, ["host"], "seq").select("seq", "host", "unique")
+    """Pages as a batch against the targets of all pages' links."""
+    pages = table(spark, sf, "pages")
+    batch = pages.select(F.col("page_id").alias("seq"), U.canonical_url(F.col("url")).alias("url"))
+    return dedup.classify_batch(batch, _targets(pages), ["url"], "seq").select("seq", "url", "unique")
 
 
 def rediscovery_semi(spark, sf):
-    batch = table(spark, sf, "pages").select("page_id", U.host_of(F.col("url")).alias("host"))
-    return dedup.rediscoveries(batch.where("page_id >= 20"), batch.where("page_id < 20").select("host").distinct(), ["host"])
+    """Links of all pages to hosts that are crawled, by the page that holds them."""
+    pages = table(spark, sf, "pages")
+    batch = P.extract_links(pages).select("page_id", "position", U.host_of(F.col("target")).alias("host"))
+    return dedup.rediscoveries(batch, pages.select(U.host_of(F.col("url")).alias("host")).distinct(), ["host"]).select("page_id", "position", "host")
 
 
 def _link_split(spark, sf):
@@ -173,6 +179,8 @@ QUERIES = {f.__name__: f for f in (host_path_split, url_no_fragment, query_filte
 
 _P = "regexp_replace(url, '[?#].*$', '')"
 _PP = f"CASE WHEN regexp_extract({_P}, '^(?:[^/:]*://)?[^/]*(/.*)$', 1) = '' THEN '/' ELSE regexp_extract({_P}, '^(?:[^/:]*://)?[^/]*(/.*)$', 1) END"
+_TARGETS = f"""WITH t AS (SELECT page_id, min(position) AS first, lower(string_split(url, ':')[1]) || '://' || lower(regexp_extract({_REST}, '^[^/?]*', 0)) || replace(replace(url_encode(href), '%2F', '/'), '%2C', ',') AS target FROM ({_HREFS}) GROUP BY ALL)
+      SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY first) - 1 AS position, target, 1::INTEGER AS depth FROM t"""
 ORACLE = {
     "host_path_split": f"SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages",
     "url_no_fragment": "SELECT page_id, regexp_replace(url, '#.*$', '') AS url FROM pages",
@@ -182,17 +190,16 @@ ORACLE = {
     "index_fold": f"SELECT page_id, regexp_replace(regexp_replace(({_PP}) || CASE WHEN page_id % 2 = 0 THEN '/index.html' ELSE '' END, '/index\\.html$', '/'), '/+', '/', 'g') AS path FROM pages",
     "registrable_domains": f"SELECT regexp_extract({_HOST}, '([^.]+\\.[^.]+)$', 1) AS domain, count(*) AS urls, count(DISTINCT {_HOST}) AS hosts FROM pages GROUP BY 1",
     "policy_canonical": f"SELECT page_id, lower(string_split(url, ':')[1]) || '://' || lower(regexp_extract({_REST}, '^[^/?]*', 0)) || ({_FOLDED}) || CASE WHEN {_KEPT} <> '' THEN '?' || {_KEPT} ELSE '' END AS url FROM pages",
-    "page_link_dedup": f"""WITH t AS (SELECT page_id, min(position) AS first, lower(string_split(url, ':')[1]) || '://' || lower(regexp_extract({_REST}, '^[^/?]*', 0)) || replace(replace(url_encode(href), '%2F', '/'), '%2C', ',') AS target FROM ({_HREFS}) GROUP BY ALL)
-      SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY first) - 1 AS position, target, 1::INTEGER AS depth FROM t""",
+    "page_link_dedup": _TARGETS,
     "link_extract": f"SELECT page_id, CAST(position AS BIGINT) AS position, href FROM ({_HREFS})",
     "page_links_distinct": f"SELECT DISTINCT page_id, href FROM ({_HREFS})",
     "host_outdegree": f"SELECT {_HOST} AS host, count(*) AS links, count(DISTINCT href) AS targets FROM ({_HREFS}) GROUP BY 1",
     "dedup_urls": f"SELECT {_CANON} AS url, min(page_id) AS page_id, count(*) AS copies FROM pages GROUP BY 1",
-    "discovery_antijoin": f"SELECT 'https://' || {_HOST} || href AS url, min(page_id * 1000 + position) AS seq FROM ({_HREFS}) WHERE href LIKE '/%' AND 'https://' || {_HOST} || href NOT IN (SELECT {_CANON} FROM pages) GROUP BY 1",
+    "discovery_antijoin": f"SELECT target AS url, min_by(page_id, (page_id, position)) AS page_id, min_by(position, (page_id, position)) AS position FROM ({_TARGETS}) WHERE target NOT IN (SELECT {_CANON} FROM pages) GROUP BY 1",
     "drum_classify_links": f"WITH b AS (SELECT src, dst AS url, seq FROM ({LINKS})) SELECT seq, url, row_number() OVER (PARTITION BY url ORDER BY seq) = 1 AND url NOT IN (SELECT url FROM b WHERE src % 5 = 0) AS unique FROM b WHERE src % 5 <> 0",
     "rediscovery_semi_links": f"WITH b AS (SELECT src, dst AS url, seq FROM ({LINKS})) SELECT seq, url FROM b WHERE src % 5 <> 0 AND url IN (SELECT url FROM b WHERE src % 5 = 0)",
-    "drum_classify": f"WITH b AS (SELECT page_id AS seq, {_HOST} AS host FROM pages) SELECT seq, host, row_number() OVER (PARTITION BY host ORDER BY seq) = 1 AND host NOT IN (SELECT host FROM b WHERE seq < 20) AS unique FROM b",
-    "rediscovery_semi": f"WITH b AS (SELECT page_id, {_HOST} AS host FROM pages) SELECT host, page_id FROM b WHERE page_id >= 20 AND host IN (SELECT host FROM b WHERE page_id < 20)",
+    "drum_classify": f"WITH b AS (SELECT page_id AS seq, {_CANON} AS url FROM pages) SELECT seq, url, row_number() OVER (PARTITION BY url ORDER BY seq) = 1 AND url NOT IN (SELECT target FROM ({_TARGETS})) AS unique FROM b",
+    "rediscovery_semi": f"WITH b AS (SELECT page_id, position, regexp_extract(target, '^[^/:]*://([^/]*)', 1) AS host FROM ({_TARGETS})) SELECT page_id, position, host FROM b WHERE host IN (SELECT {_HOST} FROM pages)",
     "dispatch_order": f"""WITH f AS (SELECT url, {_HOST} AS host, min(page_id) AS page_id FROM pages GROUP BY ALL),
       b AS (SELECT page_id, host, CAST(CASE WHEN page_id % 10 = 0 THEN 63 ELSE 63 - least(63, CAST(floor(-log2(1.0::DOUBLE / (1 + page_id % 10)) * 4) AS INTEGER)) END AS INTEGER) AS bucket, greatest(1, length(host) % 4) AS step FROM f),
       r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY bucket DESC, page_id) AS rn FROM b)

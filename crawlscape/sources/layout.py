@@ -118,8 +118,9 @@ def split(urls: DataFrame, at: int, key: str = "host_key") -> tuple[DataFrame, D
 
 
 def merge(a: DataFrame, b: DataFrame, key: str = "host_key") -> DataFrame:
-    """Union of two partitions; overlapping key ranges raise an error."""
-    (alo, ahi), (blo, bhi) = (df.agg(F.min(key), F.max(key)).head() for df in (a, b))
+    """Union of two partitions; key ranges that overlap, as unsigned numbers, raise an error."""
+    flipped = unsigned(F.col(key))
+    (alo, ahi), (blo, bhi) = (df.agg(F.min(flipped), F.max(flipped)).head() for df in (a, b))
     if None not in (alo, blo) and not (ahi < blo or bhi < alo):
         raise ValueError("key ranges overlap")
     return a.unionByName(b)

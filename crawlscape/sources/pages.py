@@ -13,9 +13,19 @@ from ..functions.urls import canonicalize
 from ..schema import CanonPolicy
 
 
+_UNSEEN = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
+_ANCHOR = r"""(?is)<a(?:rea)?\s(?:[^>]*?\s)??href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
+
 def hrefs(html: Column) -> Column:
-    """Quoted targets of plain anchors, in order: the fast path that stays in the engine."""
-    return F.regexp_extract_all(html, F.lit('<a href="([^"]*)"'), F.lit(1))
+    """Targets of ``a`` and ``area``, in order, as column expressions: quoted in either way or bare, whatever attributes
+    stand before, outside comments, scripts and styles; empty targets are none, a null page has none.
+
+    Of character references only ``&amp;`` is resolved, and a ``>`` in an attribute before the target ends the tag;
+    ``extract_links`` has the full tokenizer."""
+    found = F.regexp_extract_all(F.regexp_replace(html, _UNSEEN, ""), F.lit(_ANCHOR), F.lit(0))
+    target = lambda m: F.concat(*[F.regexp_extract(m, _ANCHOR, k) for k in (1, 2, 3)])  # noqa: E731  one of the three is not empty
+    return F.filter(F.transform(found, lambda m: F.replace(target(m), F.lit("&amp;"), F.lit("&"))), lambda t: t != "")
 
 
 class _Anchors(HTMLParser):

@@ -114,6 +114,19 @@ def test_page_graphs_grow_with_the_links(spark, sf):
 def test_numbered_has_no_gaps(spark):
     rows = spark.range(1000).select((F.col("id") * 37 % 1000).alias("s"))
     assert sorted((r.number, r.s) for r in scheduling.numbered(rows, ["s"], ranges=8).collect()) == [(i, i) for i in range(1000)]
+    hot = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.lit(7)).when(F.col("id") % 9 > 0, F.col("id")).alias("lead"), "id")
+    found = sorted((r.number, r.lead, r.id) for r in scheduling.numbered(hot, ["lead", "id"], rows_per_range=100).collect())
+    wanted = sorted(((r.lead, r.id) for r in hot.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert found == [(i, *r) for i, r in enumerate(wanted)]
+    assert scheduling.numbered(hot.where("false"), ["lead"]).count() == 0
+
+
+def test_filter_figures(spark):
+    keys = spark.range(20_000).select(F.col("id").alias("k")).union(spark.createDataFrame([(None,), (5,)], "k long"))
+    for kind, bits in (("bloom", 12), ("ribbon", 9)):
+        got = dedup.filter_figures(keys, "k", kind).head()
+        assert got["keys"] == 20_000 and got.bits_per_url < bits and got.false_negatives == 0 and got.false_positive_rate < 0.03
+    assert dedup.filter_figures(keys.where("false"), "k").head().false_positive_rate == 0
 
 
 def test_promotion_and_due(spark):

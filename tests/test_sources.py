@@ -4,9 +4,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from crawlscape.operators import canonical
 from crawlscape.plans import fleet
 from crawlscape.schema import Resolver
-from crawlscape.sources import captures, dns, layout, pages, robots, sitemaps
+from crawlscape.sources import captures, dns, layout, pages, robots, sitemaps, suffixes
 from crawlscape.sources.store import Collection, Store
 
 
@@ -143,3 +144,54 @@ def test_store_survives_a_crash_in_a_commit(spark, tmp_path, monkeypatch):
     store.checkpoint()
     store.checkpoint()
     assert keys() == [1, 3] and len([f for f in root.glob("CURRENT-*")]) == 2 and len(list((root / "gen").iterdir())) == 2
+
+
+def test_links_in_expressions(spark):
+    html = """<!-- <a href="/no"> --><script>s = '<a href="/no">'</script><a class=x data-href="/no" href="/a?x=1&amp;y=2">1</a>
+      <A
+      HREF='/b>c'>2</A><area href=/c><a href = "/d" href="/no"><abbr href="/no"><a name=q><a href=""><a href="/a?x=1&amp;y=2">"""
+    rows = spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id long, html string")
+    got = {r.page_id: r.h for r in rows.select("page_id", pages.hrefs(F.col("html")).alias("h")).collect()}
+    assert got == {1: pages.anchor_targets(html), 2: None, 3: []} and len(got[1]) == 5
+
+
+def test_public_suffixes(spark, tmp_path):
+    (tmp_path / "rules.dat").write_text("// a comment\ncom\nuk\nco.uk  and words\n*.ck\n!www.ck\nbücher.example\nexample\n\n")
+    rules = suffixes.read_suffixes(spark, str(tmp_path / "rules.dat"))
+    assert {(r.name, r.kind) for r in rules.collect()} == {("com", "plain"), ("uk", "plain"), ("co.uk", "plain"), ("ck", "any"), ("www.ck", "except"), ("xn--bcher-kva.example", "plain"), ("example", "plain")}
+    wanted = {
+        "com": "com", "a.com": "a.com", "x.A.com.": "a.com", "a.co.uk": "a.co.uk", "b.a.co.uk": "a.co.uk", "co.uk": "co.uk", "uk": "uk", "q.uk": "q.uk",
+        "a.ck": "a.ck", "b.a.ck": "b.a.ck", "c.b.a.ck": "b.a.ck", "www.ck": "www.ck", "z.www.ck": "www.ck", "one": "one", "a.one": "a.one", "b.a.one": "a.one",
+        "1.2.3.4": "1.2.3.4", "s.t.xn--bcher-kva.example": "t.xn--bcher-kva.example", "": "",
+    }
+    hosts = spark.createDataFrame([(h,) for h in [*wanted, "a.com", None]], "host string")
+    got = [(r.host, r.domain) for r in suffixes.registrable_domains(hosts, rules).collect()]
+    assert sorted(got) == sorted(wanted.items())
+    assert suffixes.registrable_domains(hosts.where("false"), rules).count() == 0
+
+
+def test_policies_by_host(spark):
+    policies = spark.createDataFrame([("a.com", True, None, ["id"]), ("b.com", False, True, None), ("twice.com", True, True, None), ("twice.com", False, True, None)], "host string, fold_trailing boolean, fold_case boolean, query_allow array<string>")
+    rows = [
+        (1, "http://A.com/x/?id=1&q=2", None, "http://a.com/x?id=1"),
+        (2, "http://b.com/X/?Q=2", None, "http://b.com/x/?q=2"),
+        (3, "http://c.com/X/?b=2&a=1&ref=z", None, "http://c.com/X/?a=1&b=2"),
+        (4, "y/", "http://a.com:80/x/", "http://a.com/x/y"),
+        (5, "//b.com/Q", "http://a.com/", "http://b.com/q"),
+        (6, "mailto:x", "http://a.com/", None),
+        (7, None, None, None),
+    ]
+    urls = spark.createDataFrame([r[:3] for r in rows], "id int, url string, base string")
+    once = policies.where("host <> 'twice.com'")
+    got = {r.id: r.canonical for r in canonical.canonical_by_host(urls, once, base="base").collect()}
+    assert got == {r[0]: r[3] for r in rows}
+    assert canonical.canonical_by_host(urls, once.where("false"), base="base").where("canonical like '%/x/y/'").count() == 1
+    with pytest.raises(Exception, match="two policies"):
+        canonical.canonical_by_host(spark.createDataFrame([("http://twice.com/",)], "url string"), policies).collect()
+
+
+def test_merge_takes_keys_as_unsigned(spark):
+    low, middle = (spark.createDataFrame([(k,) for k in keys], "host_key long") for keys in ([1, 5], [2**62, -(2**62)]))
+    assert layout.merge(low, middle).count() == 4
+    with pytest.raises(ValueError, match="overlap"):
+        layout.merge(low, spark.createDataFrame([(3,)], "host_key long"))
